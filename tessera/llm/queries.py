@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, mixing, sharding
+from tessera.llm import chat, decontaminate, mixing, prefix_free, sharding, suffix_trees
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,12 +25,22 @@ def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_trees.remove_repeated_words(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source at the same weight, as many documents in all as there are."""
     out = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", F.length("text").cast("long").alias("n_text"), F.sha2("text", 256).alias("text_sha256"), F.col("_copies").alias("copies"), F.col("_copy").alias("copy"), F.col("_order").alias("mix_order"))
 
 
+def op8_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = prefix_free.remove_repeated_bytes(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "\\### Assistant: </turn> ok"
@@ -41,7 +51,9 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_jump_shards": op3_jump_shards,
+    "op4_suffix_tree_dedup": op4_suffix_tree_dedup,
     "op6_poisson_mix": op6_poisson_mix,
+    "op8_prefix_free_dedup": op8_prefix_free_dedup,
     "op9_chat_format": op9_chat_format,
 }
 
@@ -59,6 +71,16 @@ ORACLE: dict[str, str] = {
         h AS (SELECT doc_id, item_id, count(*) AS c FROM ds JOIN bs USING (k, s) GROUP BY 1, 2)
         SELECT doc_id, item_id, c::INT AS n_shared, n::INT AS n_item, c::DOUBLE / n::DOUBLE AS containment
         FROM h JOIN bn USING (item_id) WHERE c::DOUBLE / n::DOUBLE >= 0.8""",
+    "op4_suffix_tree_dedup": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        k AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM d, LATERAL (SELECT unnest(generate_series(1, len(w) - 12)) AS i)),
+        f AS (SELECT s, min(doc_id) AS m FROM k GROUP BY 1),
+        h AS (SELECT doc_id, i FROM k JOIN f USING (s) WHERE m < doc_id),
+        c AS (SELECT DISTINCT doc_id, i + j AS i FROM h, (SELECT unnest(generate_series(0, 12)) AS j)),
+        p AS (SELECT doc_id, i, w[i] AS x FROM d, LATERAL (SELECT unnest(generate_series(1, len(w))) AS i)),
+        r AS (SELECT p.doc_id, string_agg(x, ' ' ORDER BY p.i) AS kept, count(*) AS n FROM p ANTI JOIN c ON p.doc_id = c.doc_id AND p.i = c.i GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN r USING (doc_id)""",
     "op6_poisson_mix": """
         WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
         r AS (SELECT source, 1.0::DOUBLE / (SELECT count(*) FROM c)::DOUBLE * (SELECT sum(n) FROM c)::DOUBLE / n::DOUBLE AS rate FROM c),
@@ -73,6 +95,19 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, source, length(text)::BIGINT AS n_text, sha256(text) AS text_sha256, copies::INT AS copies, copy::INT AS "copy",
                md5('mix-order|' || doc_id::VARCHAR || '|' || copy::VARCHAR) AS mix_order
         FROM k, LATERAL (SELECT unnest(generate_series(0, copies - 1)) AS copy)""",
+    "op8_prefix_free_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, (length(hex(encode(coalesce(text, '')))) // 2)::BIGINT AS n FROM documents),
+        k AS (SELECT doc_id, i, md5(substr(x, 2 * i - 1, 100)) AS s FROM d, LATERAL (SELECT unnest(generate_series(1, n - 49)) AS i)),
+        f AS (SELECT s, min(doc_id) AS m FROM k GROUP BY 1),
+        h AS (SELECT doc_id, i FROM k JOIN f USING (s) WHERE m < doc_id),
+        e AS (SELECT doc_id, i, max(i + 49) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM h),
+        g AS (SELECT doc_id, i, sum(CASE WHEN reach IS NULL OR reach < i - 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e),
+        s AS (SELECT doc_id, run, min(i) AS a, max(i) + 49 AS b FROM g GROUP BY 1, 2),
+        t AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+        r AS (SELECT d.doc_id, string_agg(substr(x, 2 * before + 1, 2 * (a - before - 1)), '' ORDER BY a) || any_value(substr(x, 2 * last + 1)) AS kept, sum(b - a + 1) AS gone, count(*) AS spans
+              FROM t JOIN (SELECT doc_id, max(b) AS last FROM s GROUP BY 1) USING (doc_id) JOIN d ON d.doc_id = t.doc_id GROUP BY 1)
+        SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+        FROM d LEFT JOIN r USING (doc_id)""",
     "op9_chat_format": r"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
