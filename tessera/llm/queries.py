@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, mixing, prefix_free, sharding, suffix_trees
+from tessera.llm import chat, decontaminate, language, mixing, prefix_free, sharding, suffix_trees
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_records(chat.conversation_records(rows.unionByName(more))))
 
 
+def op10_cross_parse_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out(F.col("doc_id")))
+    model = language.fit(docs, train=~F.col("held_out"))
+    return language.identify(docs.select("doc_id", "held_out", "text"), model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_jump_shards": op3_jump_shards,
@@ -55,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_poisson_mix": op6_poisson_mix,
     "op8_prefix_free_dedup": op8_prefix_free_dedup,
     "op9_chat_format": op9_chat_format,
+    "op10_cross_parse_language": op10_cross_parse_language,
 }
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
