@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, language, mixing, prefix_free, sharding, suffix_trees
+from tessera.llm import chat, decontaminate, language, mixing, near_dup, prefix_free, sharding, suffix_trees
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source at the same weight, as many documents in all as there are."""
     out = mixing.mix_sources(_table(spark, sf_dir, "documents"))
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_jump_shards": op3_jump_shards,
     "op4_suffix_tree_dedup": op4_suffix_tree_dedup,
+    "op5_prob_minhash": op5_prob_minhash,
     "op6_poisson_mix": op6_poisson_mix,
     "op8_prefix_free_dedup": op8_prefix_free_dedup,
     "op9_chat_format": op9_chat_format,
