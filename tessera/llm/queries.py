@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, language, mixing, near_dup, prefix_free, sharding, suffix_trees
+from tessera.llm import chat, decontaminate, language, mixing, near_dup, pii, prefix_free, sharding, suffix_trees
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,14 @@ def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", F.length("text").cast("long").alias("n_text"), F.sha2("text", 256).alias("text_sha256"), F.col("_copies").alias("copies"), F.col("_copy").alias("copy"), F.col("_order").alias("mix_order"))
 
 
+def op7_disclosure_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.sanitise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.concat(*[pii.listed(k, F.col(k)) for k in pii.KINDS])
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    spans = F.array_join(F.concat(base, pii.listed("term", F.col("terms"))), ",")
+    return out.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), spans.alias("spans"), F.sha2(F.coalesce("sanitised", F.lit("")), 256).alias("sanitised_sha256"))
+
+
 def op8_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = prefix_free.remove_repeated_bytes(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -64,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_tree_dedup": op4_suffix_tree_dedup,
     "op5_prob_minhash": op5_prob_minhash,
     "op6_poisson_mix": op6_poisson_mix,
+    "op7_disclosure_sanitise": op7_disclosure_sanitise,
     "op8_prefix_free_dedup": op8_prefix_free_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_cross_parse_language": op10_cross_parse_language,
