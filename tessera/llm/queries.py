@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, language, mixing, near_dup, pii, prefix_free, sharding, suffix_trees
+from tessera.llm import chat, decontaminate, flac, language, mixing, near_dup, pii, prefix_free, sharding, suffix_trees
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.flac_features(flac.text_to_flac(_table(spark, sf_dir, "documents")))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -67,6 +71,7 @@ def op10_cross_parse_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_flac_media": op1_flac_media,
     "op2_decontaminate": op2_decontaminate,
     "op3_jump_shards": op3_jump_shards,
     "op4_suffix_tree_dedup": op4_suffix_tree_dedup,
