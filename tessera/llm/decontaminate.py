@@ -94,7 +94,8 @@ def find_leaks(
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, **how: object) -> DataFrame:
-    """docs without those that hold an item."""
-    leaks = find_leaks(docs, items, **how).select(F.col("doc_id").alias("_leak")).distinct()
+    """docs without those that hold an item; rows that share an id (null is one) go together."""
+    leaks = staged(find_leaks(docs, items, **how).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
     key = str(how.get("doc_id", "doc_id"))
-    return docs.join(leaks, docs[key].eqNullSafe(F.col("_leak")), "left_anti")
+    side = F.broadcast(leaks) if leaks.count() <= BROADCAST_ROWS else leaks
+    return docs.join(side, docs[key].eqNullSafe(F.col("_leak")), "left_anti")
