@@ -58,12 +58,26 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns, F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _apart(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage with columns that documents doesn't have under names that can't clash with its own."""
+
+    def run_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: f"extra_{i}_of_input" for i, c in enumerate(docs.columns) if c not in COLUMNS}
+        return stage(spark, docs.withColumnsRenamed(names), sf_dir).withColumnsRenamed({v: k for k, v in names.items()})
+
+    run_.__doc__ = stage.__doc__
+    return run_
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language ID", language_id),
-    ("near-dedup", near_dedup),
-    ("decontamination", decontamination),
-    ("mixing", source_mix),
-    ("sharding", shards),
+    ("language ID", _apart(language_id)),
+    ("near-dedup", _apart(near_dedup)),
+    ("decontamination", _apart(decontamination)),
+    ("mixing", _apart(source_mix)),
+    ("sharding", _apart(shards)),
 ]
 
 #: The language model and ProbMinHash have no SQL form; tests/llm compares each stage with a brute-force version.

@@ -116,8 +116,10 @@ def format_records(records: DataFrame, record: str = "record", mappings: list[di
 
     Paths that no mapping names (ids, scores, extra fields) don't enter the fingerprint. A record whose
     fingerprint is unknown, that is null or no JSON, has layout null and an empty formatted text. Records
-    are independent, so memory is bounded by a batch of them; a conversation is one record however long.
+    are independent, so memory is bounded by a batch of them; a conversation is one record however long. An empty table gives no rows; an input column
+    with one of the new names is replaced.
     """
+    records = records.drop("_fingerprint", "_layout", "_formatted", "_loss")
     known, named = registry(MAPPINGS if mappings is None else mappings)
     alias = ROLES if roles is None else roles
 

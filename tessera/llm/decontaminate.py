@@ -98,4 +98,4 @@ def drop_leaks(docs: DataFrame, items: DataFrame, **how: object) -> DataFrame:
     leaks = staged(find_leaks(docs, items, **how).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
     key = str(how.get("doc_id", "doc_id"))
     side = F.broadcast(leaks) if leaks.count() <= BROADCAST_ROWS else leaks
-    return docs.join(side, docs[key].eqNullSafe(F.col("_leak")), "left_anti")
+    return docs.join(side, docs[key].eqNullSafe(side["_leak"]), "left_anti")

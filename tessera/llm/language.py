@@ -176,8 +176,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", slice_bytes: int
 
     A phrase is the longest match of the rest of the text in a language's reference. The language of the least phrases x log2(reference length) / symbols wins
     (ties: the first by name); score is 1 - that / the next language's, 1 if there is only one language. A null text, one without letters, and any text when no
-    language was learned is `und` with score 0. Case, digits and signs don't count. Whole texts are parsed; repeated rows get one result each.
+    language was learned is `und` with score 0. Case, digits and signs don't count. Whole texts are parsed; repeated rows get one result each; an empty table
+    gives no rows; an input column lang_pred or score is replaced.
     """
+    docs = docs.drop("lang_pred", "score")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c != text]

@@ -58,10 +58,12 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     The count of a document inverts the Poisson distribution with its source's mean rate at a uniform number
     hashed from seed and key, so it depends on no partitioning and is the same after a lost task. _copy runs
     from 0; _order is the hash by which the rows are sorted over all partitions. Documents with count 0 go.
-    Repeated rows get the same count each; null keys hash as an empty key; an empty table gives no rows.
+    Repeated rows get the same count each; null keys hash as an empty key; an empty table gives no rows; an input
+    column with one of the new names, or _source, _rows, _part, _salt, is replaced.
     The totals of sources meet the rows by a broadcast while there are at most 100,000 sources, else by a
     join of which the large side is salted 32 ways.
     """
+    docs = docs.drop("_rate", "_copies", "_copy", "_order", "_source", "_rows", "_part", "_salt")
     rates = source_rates(docs, weights, source, total)
     few = rates.limit(_BROADCAST_SOURCES + 1).count() <= _BROADCAST_SOURCES
     names = docs.columns

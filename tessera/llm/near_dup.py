@@ -160,7 +160,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, rows: int = 4, bands: int = 24) -> DataFrame:
     """(doc_id, class_id, n_shingles): one row per row of docs; class_id is the least id of its near-duplicate class.
 
-    1. ProbMinHash signatures of rows x bands positions over word shingles weighted by their counts. 2. Equal texts (by digest) become one representative, the least id.
+    1. ProbMinHash signatures of rows x bands positions over word shingles weighted by their counts. 2. Equal texts (by digest) become one representative, numbered by 64 bits of the digest.
     3. Representatives that agree in all positions of a band are candidates. Each band value first pairs its members with its least member; candidates are
     verified exactly by their shingle weights, and components taken. 4. Members of one band value that are still in different components and were not compared are compared
     in the same way, again and again by a further leader while that leaves many pairs, then all that are left: no candidate link between different components is lost,
@@ -171,20 +171,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """
     signed = staged(sign(docs, key, text, width, rows * bands), "signed")
     rep = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    rep = staged(rep.groupBy("same").agg(F.min(F.struct("doc_id", "sig")).alias("s")).select("same", F.col("s.doc_id").alias("id"), "s.sig"), "representatives")
+    rep = staged(rep.groupBy("same").agg(F.min(F.struct("doc_id", "sig")).alias("s")).select("same", F.xxhash64("same").alias("id"), F.col("s.doc_id").alias("first"), "s.sig"), "representatives")
     values = F.array(*[F.xxhash64(F.lit(b), *[F.col("sig")[b * rows + r] for r in range(rows)]) for b in range(bands)])
     banded = rep.select("id", F.explode(values).alias("h"))
     leads = banded.groupBy("h").agg(F.min("id").alias("lead"), F.max("id").alias("most"), F.count(F.lit(1)).alias("c")).filter(F.col("lead") < F.col("most"))
     shared = staged(banded.join(leads.select("h", "lead"), "h").select("h", "lead", "id"), "bands")
     ids = shared.select("id").distinct()
+    firsts = rep.join(ids, "id").select(F.col("first").alias("doc_id")).distinct()
     few = ids.count() <= _BROADCAST_IDS
-    wanted = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    texts = staged(_compressed(wanted.join(F.broadcast(ids) if few else ids, "id", "left_semi"), rep), "texts")
+    wanted = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    texts = staged(_compressed(wanted.join(F.broadcast(firsts) if few else firsts, "doc_id", "left_semi"), rep), "texts")
     tested = shared.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     tested = staged(tested, "pairs")
-    edges = _verify(tested, texts, width, threshold)
+    edges = _verify(tested, texts, width, threshold).unionByName(_one_id_many_texts(signed))
     for turn in range(4):
-        labels = components(_with_shared_ids(edges, signed))
+        labels = components(edges)
         open_ = shared.select("h", "id").join(labels, "id", "left").select("h", "id", F.coalesce("label", "id").alias("label"))
         spread = open_.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("h")
         open_ = staged(open_.join(spread, "h"), "open")
@@ -209,23 +210,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         tested = tested.unionByName(fresh)
         edges = edges.unionByName(_verify(fresh, texts, width, threshold))
         if not (many and turn < 3):
-            labels = components(_with_shared_ids(edges, signed))
+            labels = components(edges)
             break
     else:
-        labels = components(_with_shared_ids(edges, signed))
-    least = rep.select("same", "id")
-    classed = signed.select("doc_id", "same", F.col("n").alias("n_shingles")).join(least, "same", "left").join(labels, "id", "left")
+        labels = components(edges)
+    node = rep.select("same", "first", "id").join(labels, "id", "left").select("same", "first", F.coalesce("label", "id").alias("label"))
+    named = node.join(node.groupBy("label").agg(F.min("first").alias("class_id")), "label").select("same", "class_id")
+    classed = signed.select("doc_id", "same", F.col("n").alias("n_shingles")).join(named, "same", "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    return classed.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.coalesce("label", "id")).alias("class_id"), "n_shingles")
+    return classed.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_shingles")
 
 
-def _with_shared_ids(edges: DataFrame, signed: DataFrame) -> DataFrame:
-    """edges, and one from each id that stands at several texts to their representatives."""
-    several = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).filter("lo < hi").select("doc_id")
-    rows = signed.filter(F.col("n") > 0).select("doc_id", "same")
-    theirs = rows.join(several, "doc_id").select(F.col("doc_id").alias("b"), "same").distinct()
-    reps = rows.filter(F.col("doc_id").isNotNull()).join(theirs.select("same").distinct(), "same", "left_semi").groupBy("same").agg(F.min("doc_id").alias("a"))
-    return edges.unionByName(theirs.join(reps, "same").select("a", "b").filter("a <> b"))
+def _one_id_many_texts(signed: DataFrame) -> DataFrame:
+    """Edges between the texts of each id that has several."""
+    nodes = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("same").alias("b"))
+    several = nodes.groupBy("doc_id").agg(F.min("b").alias("a"), F.max("b").alias("most")).filter("a < most").select("doc_id", "a")
+    return staged(nodes.join(several, "doc_id").filter("a <> b").select("a", "b").distinct(), "several")
 
 
 def _compressed(texts: DataFrame, rep: DataFrame) -> DataFrame:
@@ -240,8 +240,9 @@ def _compressed(texts: DataFrame, rep: DataFrame) -> DataFrame:
             pieces = [raw[p:q].tobytes() for p, q in zip(off[:-1], off[1:])]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in pieces], pa.binary()), pa.array([len(x) for x in pieces], pa.int64()), pa.array([codec.compress(x, asbytes=True) for x in pieces], pa.binary())],
-                names=["id", "same", "size", "blob"],
+                names=["doc_id", "same", "size", "blob"],
             )
 
-    mine = texts.mapInArrow(run, "id long, same binary, size long, blob binary")
-    return mine.join(rep.select("id", "same"), ["id", "same"], "left_semi").groupBy("id").agg(F.min(F.struct("same", "size", "blob")).alias("t")).select("id", "t.size", "t.blob")
+    mine = texts.mapInArrow(run, "doc_id long, same binary, size long, blob binary")
+    own = mine.join(rep.select(F.col("first").alias("doc_id"), "same", "id"), ["doc_id", "same"])
+    return own.groupBy("id").agg(F.min(F.struct("size", "blob")).alias("t")).select("id", "t.size", "t.blob")

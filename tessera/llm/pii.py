@@ -141,8 +141,11 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: in
     Base matches become their tag. Terms near them that tell a share >= `generalise` of an entity's information (see disclosing_terms) become [TERM], those
     of a share >= `remove` go. Overlapping places are taken out once, as the first of them. Positions are code points, ends exclusive.
     The places of terms join the texts by a broadcast while they are in at most 500,000 documents, else by a shuffle.
-    A null text is empty with no places (sanitised stays null); repeated rows get one result each; null ids are an id like others; an empty table gives no rows.
+    A null text is empty with no places (sanitised stays null); repeated rows get one result each; null ids are an id like others; an empty table gives no rows; an input column with one
+    of the new names, or one of them after an underscore, is replaced.
     """
+    new = (*KINDS, "terms", "sanitised", "h", "id", "same")
+    docs = docs.drop(*new[:6], *[f"_{n}" for n in new])
     shown = staged(disclosing_terms(docs, key, text, reach, least, generalise), "terms")
     side = F.broadcast(shown) if shown.count() <= _ROWS else shown
     same = F.xxhash64(F.coalesce(F.col(text), F.lit("")))

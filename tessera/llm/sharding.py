@@ -55,8 +55,10 @@ def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str
     percentile, at most 4096), rows are numbered inside (shard, range), and the counts of earlier ranges,
     a table of at most shards x 4096 rows, are added.
     Null keys count as key 0 for the shard and come first in the order; null texts have no bytes and checksum 0; repeated rows get
-    slots of their own; an empty table gives no rows.
+    slots of their own; an empty table gives no rows; an input column with one of the new names, or
+    _range, _at, _before, is replaced.
     """
+    docs = docs.drop("_size", "_crc", "_shard", "_slot", "_grown_shard", "_range", "_at", "_before")
     out = docs.withColumns(
         {
             "_size": (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + F.lit(8)).cast("long"),
