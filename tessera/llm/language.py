@@ -86,13 +86,16 @@ def build(texts: dict[str, str], most_classes: int = 60) -> Model:
         for s, edges in enumerate(auto):
             for c, to in edges.items():
                 t[s, c] = to
-        root = np.where(t[0] >= 0, t[0], 0)  # a class that the reference lacks is a phrase of its own
+        # a class that the reference lacks is a phrase of its own, held by a last state that nothing continues; the root is left at the first symbol for good
+        root = np.where(t[0] >= 0, t[0], len(auto))
+        t = np.concatenate([t, np.full((1, width), -1, np.int64)])
         t = np.where(t >= 0, (base + t) * width, (base + root) * width + _EMIT)
-        t[:, width - 1] = (base + np.arange(len(auto))) * width
+        t[0] &= _EMIT - 1
+        t[:, width - 1] = (base + np.arange(len(t))) * width
         tables.append(t)
         roots.append(base * width)
         bits.append(math.log2(max(2, len(codes))))
-        base += len(auto)
+        base += len(t)
     table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int64)
     if len(table) >= _EMIT:
         raise ValueError("the reference texts are too long for all these languages; lower ref_chars")
