@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import staged
+
 _BROADCAST_SOURCES = 100_000
 
 
@@ -47,9 +49,11 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
             hit = F.col("_source").isNull() if name is None else F.col("_source") == F.lit(name)
             w = F.when(hit, F.lit(float(value))).otherwise(w)
         weighed = counts.withColumn("_w", w)
-    whole = weighed.agg(F.sum("_w").alias("_whole_w"), F.sum("_rows").alias("_whole_n"))
-    n = F.lit(float(total)) if total is not None else F.col("_whole_n").cast("double")
-    return weighed.crossJoin(F.broadcast(whole)).select("_source", "_rows", F.when(F.col("_whole_w") > 0, F.col("_w") / F.col("_whole_w") * n / F.col("_rows").cast("double")).otherwise(F.lit(0.0)).alias("_rate"))
+    weighed = staged(weighed, "sources")
+    whole = weighed.agg(F.sum("_w").alias("w"), F.sum("_rows").alias("n")).first()
+    n = float(total if total is not None else whole["n"] or 0)
+    share = F.col("_w") / F.lit(whole["w"]) * F.lit(n) / F.col("_rows").cast("double") if whole["w"] else F.lit(0.0)
+    return weighed.select("_source", "_rows", share.alias("_rate"))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, key: str = "doc_id", source: str = "source", seed: str = "mix", total: float | None = None) -> DataFrame:
