@@ -59,8 +59,13 @@ def sequential(obs: DataFrame, by: list[str], batch: str = "batch", place: Colum
     Only counts by batch and group are needed. `place` orders the batches (by default by number). A batch without records to test, with fewer than `least` before it or
     fewer than two groups there, adds nothing.
     """
-    place = place if place is not None else F.col(batch).cast("double")
     c = obs.filter(F.col(batch).isNotNull()).groupBy(*by, batch, "grp").agg(F.count("y").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("s"))
+    return sequential_counts(c, by, batch, place, least)
+
+
+def sequential_counts(c: DataFrame, by: list[str], batch: str = "batch", place: Column | None = None, least: int = 2) -> DataFrame:
+    """As sequential, from one row of counts n and s per (by, batch, grp)."""
+    place = place if place is not None else F.col(batch).cast("double")
     grid = c.select(*by, batch).distinct().join(c.select(*by, "grp").distinct(), by)
     c = grid.join(c, [*by, batch, "grp"], "left").fillna(0, ["n", "s"]).withColumn("_o", place)
     before = Window.partitionBy(*by, "grp").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.operators.staging import settled
 
 
 class Refused(ValueError):
@@ -119,7 +120,7 @@ def scorable(records: DataFrame, a: str, b: str, key: str = "id", rounds: int =
     size = now.count()
     for _ in range(rounds):
         now = now.withColumns({"_a": F.count(F.lit(1)).over(Window.partitionBy(a)), "_b": F.count(F.lit(1)).over(Window.partitionBy(b))}).filter("_a >= 2 AND _b >= 2").drop("_a", "_b")
-        now = now.cache() if not now.sparkSession.sparkContext.getCheckpointDir() else now.checkpoint()
+        now = settled(now)
         smaller = now.count()
         if smaller == size:
             break
