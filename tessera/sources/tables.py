@@ -72,6 +72,11 @@ def read_table(spark: SparkSession, path: str, what: str = "table") -> DataFrame
     return read_text(spark, path, what)
 
 
+def located(cfg: Config, name: str) -> str:
+    """A table's path: relative ones start at data_dir."""
+    return name if name.startswith("/") or "://" in name else f"{cfg.dataset.data_dir}/{name}"
+
+
 def need(df: DataFrame, columns: list[str], what: str) -> DataFrame:
     absent = [c for c in columns if c not in df.columns]
     if absent:
@@ -83,7 +88,7 @@ def members(spark: SparkSession, cfg: Config) -> DataFrame:
     """(id, grp, stratum, unit, batch, side, level): the metadata's analysis columns, one row per id, missing values as null."""
     d = cfg.dataset
     want = {"grp": d.group_column, "stratum": d.stratum_column, "unit": d.cluster_column, "batch": d.batch_column, "side": d.contrast_column, "level": d.stratify_by}
-    raw = need(read_table(spark, f"{d.data_dir}/{d.metadata}", "metadata"), [d.id_column, *[c for c in want.values() if c]], "metadata")
+    raw = need(read_table(spark, located(cfg, d.metadata), "metadata"), [d.id_column, *[c for c in want.values() if c]], "metadata")
     ingest.require_keys(raw, [d.id_column], "metadata")
     value = lambda c: F.when(~text.among(F.col(f"`{c}`"), text.METADATA_MISSING), F.trim(F.col(f"`{c}`"))) if c else F.lit(None).cast("string")
     df = raw.select(F.col(f"`{d.id_column}`").alias("id"), *[value(c).alias(k) for k, c in want.items()])
@@ -94,7 +99,7 @@ def calls(spark: SparkSession, cfg: Config) -> DataFrame:
     """(id, feature, y): the call table, long or wide, recoded, one row per key."""
     d = cfg.dataset
     key = d.call_id_column or d.id_column
-    raw = read_table(spark, f"{d.data_dir}/{d.calls}", "calls")
+    raw = read_table(spark, located(cfg, d.calls), "calls")
     if d.call_feature_columns:
         long = ingest.melt(need(raw, [key, *d.call_feature_columns], "calls"), [key], list(d.call_feature_columns), "feature", "call").withColumnRenamed(key, "id")
     else:
@@ -110,7 +115,7 @@ def dilutions(spark: SparkSession, cfg: Config) -> DataFrame:
     """(id, feature, value, op, panel, stratum): the dilution table, parsed; other units set aside."""
     d = cfg.dataset
     key = d.reading_id_column or d.id_column
-    raw = read_table(spark, f"{d.data_dir}/{d.readings}", "readings")
+    raw = read_table(spark, located(cfg, d.readings), "readings")
     extra = [c for c in (d.operator_column, d.unit_column, d.panel_column, *d.covariate_columns) if c]
     need(raw, [key, *extra, *(d.reading_feature_columns or (d.reading_feature_column, d.value_column))], "readings")
     if d.reading_feature_columns:
