@@ -23,9 +23,9 @@ def lattice(readings: DataFrame, by: list[str], wells: list[float] | None = None
 
 def _index(v: Column) -> Column:
     """Place of a reading on its lattice, from 0."""
-    near = F.array_position(F.col("wells"), F.rint(v)).cast("int") - 1
-    nearest = F.array_min(F.transform(F.col("wells"), lambda w: F.struct(F.abs(w - v).alias("d"), F.array_position(F.col("wells"), w).alias("p"))))["p"].cast("int") - 1
-    return F.when(F.col("kind") == "doubling", near).otherwise(nearest)
+    at = lambda x: F.array_position(F.col("wells"), x).cast("int") - 1
+    nearest = F.array_min(F.transform(F.col("wells"), lambda w, i: F.struct(F.abs(w - v).alias("d"), i.alias("p"))))["p"]
+    return F.when(F.col("kind") == "doubling", at(F.rint(v))).when(F.col("kind") == "recorded", at(v)).otherwise(nearest)
 
 
 def intervals(readings: DataFrame, by: list[str], wells: list[float] | None = None, ends_censored: bool = True, signs: bool = True) -> DataFrame:
