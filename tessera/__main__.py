@@ -55,7 +55,7 @@ def main(args: list[str] | None = None) -> int:
         else:
             df.select("level", "feature", "analysis", "status", "estimate", "lower", "upper", "q", "conclusion").orderBy("level", "feature", "analysis").show(200, truncate=False)
         return 0
-    except (ConfigError, ingest.Refused, ValueError) as e:
+    except (OSError, ConfigError, ingest.Refused, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
 

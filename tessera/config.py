@@ -9,6 +9,11 @@ from typing import Any
 
 import yaml
 
+from tessera.functions.text import CALLS
+
+#: What to do with records of one key that differ: refuse, drop the key, or let the positive (or first) one stand.
+DUPLICATES = frozenset("positive_wins drop_conflicts error".split())
+
 
 class ConfigError(ValueError):
     pass
@@ -74,10 +79,10 @@ class Readings:
 
 @dataclass(frozen=True)
 class Evidence:
-    enabled: bool = True
-    folds: int = 5
-    repeats: int = 20
     alpha: float = 0.05
+    repeats: int = 20
+    folds: int = 5
+    enabled: bool = True
 
 
 @dataclass(frozen=True)
@@ -110,7 +115,7 @@ def _typed(name: str, value: Any, default: Any, kind: str) -> Any:
         if isinstance(value, bool) or not isinstance(value, int) or value < 0:
             raise ConfigError(f"{name} must be a whole number of at least 0")
     elif kind == "float":
-        if isinstance(value, bool) or not isinstance(value, (int, float)):
+        if type(value) not in (int, float):
             raise ConfigError(f"{name} must be a number")
         value = float(value)
     elif kind.startswith("tuple"):
@@ -146,9 +151,9 @@ def from_dict(given: dict[str, Any]) -> Config:
     d = cfg.dataset
     if not (d.calls or d.readings):
         raise ConfigError("dataset names neither calls nor readings")
-    if d.call_kind not in ("undeclared", "clinical_sir", "wt_nwt", "binary"):
+    if d.call_kind not in CALLS:
         raise ConfigError(f"unknown call_kind {d.call_kind!r}")
-    if d.duplicate_policy not in ("error", "drop_conflicts", "positive_wins"):
+    if d.duplicate_policy not in DUPLICATES:
         raise ConfigError(f"unknown duplicate_policy {d.duplicate_policy!r}")
     if bool(d.contrast_column) != bool(d.contrast_levels) or (d.contrast_levels and len(set(d.contrast_levels)) != 2):
         raise ConfigError("a contrast needs a column and exactly two different levels")

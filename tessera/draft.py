@@ -26,7 +26,7 @@ def role_of(columns: list[str], role: str, taken: set[str]) -> str | None:
             if c.strip().lower() == word:
                 return c
         for c in free:
-            parts = re.split(r"[^a-z0-9]+", c.lower())
+            parts = re.findall("[0-9a-z]+", c.lower())
             if word in parts or (len(word) > 2 and word in c.lower()):
                 return c
     return None

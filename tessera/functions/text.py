@@ -53,7 +53,7 @@ def call_value(c: Column, kind: str, intermediate: str | None = None) -> Column:
         if intermediate is not None:
             raise ValueError("an intermediate policy applies to clinical_sir and undeclared calls only")
         return word.cast("double")
-    policy = intermediate or ("non_susceptible" if kind == "undeclared" else "susceptible")
+    policy = intermediate or {"undeclared": POLICIES[0]}.get(kind, POLICIES[2])
     if policy not in POLICIES:
         raise ValueError(f"unknown intermediate policy {policy!r}")
     middle = {"non_susceptible": F.lit(1.0), "susceptible": F.lit(0.0), "drop": F.lit(None).cast("double")}[policy]
@@ -105,8 +105,8 @@ def cell_number(c: Column) -> Column:
     """The number of a cell without its sign: a sole decimal comma is a point, of a combination the first part counts; null if it isn't a number."""
     s = F.replace(F.replace(F.trim(c), F.lit("≤"), F.lit("<=")), F.lit("≥"), F.lit(">="))
     s = F.trim(F.regexp_replace(s, "^(<=|>=|<|>)", ""))
-    s = F.regexp_replace(s, r"^(\d+),(\d+)$", "$1.$2")
-    s = F.regexp_replace(s, r"^([0-9.eE+-]+)\s*/\s*[0-9.eE+-]+$", "$1")
+    s = F.when(s.rlike(r"^[0-9]+,[0-9]+$"), F.translate(s, ",", ".")).otherwise(s)
+    s = F.when(s.rlike(r"^[\deE.+-]+\s*/\s*[\deE.+-]+$"), F.trim(F.substring_index(s, "/", 1))).otherwise(s)
     return F.when(s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), s.try_cast("double"))
 
 

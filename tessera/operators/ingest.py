@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.config import DUPLICATES
 from tessera.functions import text
 from tessera.operators.staging import settled
 
 
+SIGNS = ("=", "", *(s + e for s in "<>" for e in ("", "=")))
+
+
 class Refused(ValueError):
     """Input that an analysis must not silently repair."""
 
@@ -72,8 +76,8 @@ def duplicate_report(df: DataFrame, keys: list[str], values: list[str]) -> DataF
 
 def resolve_duplicates(df: DataFrame, keys: list[str], values: list[str], policy: str = "error", positive: str | None = None, order: list[Column] | None = None) -> DataFrame:
     """One row per key. `error` refuses conflicts, `drop_conflicts` removes their keys, `positive_wins` takes the largest of `positive`, or the first row in `order` where there is none."""
-    if policy not in ("error", "drop_conflicts", "positive_wins"):
-        raise ValueError(f"unknown duplicate policy {policy!r}")
+    if policy not in DUPLICATES:
+        raise ValueError(f"{policy!r} is no way to resolve duplicates")
     if policy == "positive_wins" and positive:
         return df.groupBy(*keys).agg(F.max(positive).alias(positive))
     if policy != "positive_wins":
@@ -142,7 +146,7 @@ def parse_cells(cells: DataFrame, value: str = "value", op: str = "op") -> DataF
     return cells.withColumns(
         {
             "number": F.when(number > 0, number), "sign": F.when(given != "", given).otherwise(inline), "clash": (given != "") & (inline != "") & (given != inline),
-            "bad_sign": ~F.when(given != "", given).otherwise(inline).isin("", "=", "<", "<=", ">", ">="),
+            "bad_sign": ~F.when(given != "", given).otherwise(inline).isin(*SIGNS),
         }
     )
 

@@ -86,9 +86,9 @@ def npmle_scores(cells: DataFrame, by: list[str]) -> DataFrame:
 class Ordering:
     """Group shares of cells with the rank range of each cell: all orderings of groups inside cells, and the share of rank variance between groups that each gives."""
 
-    def __init__(self, counts: np.ndarray, low: np.ndarray, high: np.ndarray):
-        keep = counts.sum(0) > 0
-        self.counts = counts[:, keep]
+    def __init__(self, table: np.ndarray, bottom: np.ndarray, top: np.ndarray):
+        keep = table.any(0)
+        self.counts, low, high = table[:, keep].astype(float), bottom, top
         self.p = self.counts / self.counts.sum()
         self.w, self.cell = self.p.sum(1), self.p.sum(0)
         self.high, self.span = high[keep], (high - low)[keep]
@@ -111,11 +111,11 @@ class Ordering:
 
     def merged(self) -> Ordering:
         """Groups of one profile taken together: no ordering tells them apart at the minimum."""
-        profile = np.round(self.counts / self.counts.sum(1, keepdims=True), 12)
-        _, g = np.unique(profile, axis=0, return_inverse=True)
-        total = np.zeros((g.max() + 1, self.counts.shape[1]))
-        np.add.at(total, g.ravel(), self.counts)
-        return Ordering(total, self.high - self.span, self.high)
+        alike: dict[bytes, np.ndarray] = {}
+        for row in self.counts:
+            profile = np.round(row / row.sum(), 12).tobytes()
+            alike[profile] = alike.get(profile, 0) + row
+        return Ordering(np.array(list(alike.values())), self.high - self.span, self.high)
 
     def least(self, tol: float = 1e-10, most: int = 2000) -> tuple[float, np.ndarray]:
         """Certified lower end of rho, and the group means at the best point. Frank-Wolfe, with the minimum-norm combination of all corners so far found anew at each (by non-negative least squares)."""
@@ -157,11 +157,11 @@ class Ordering:
                 np.maximum.at(value, src | (1 << i), value[src] + x * x / self.w[i])
         return float(value[-1])
 
-    def greatest_found(self, starts: int, rng: np.random.Generator) -> float:
+    def greatest_found(self, restarts: int, random: np.random.Generator) -> float:
         """A large sum by moving single groups to their best place until none gains."""
         best = -np.inf
-        for s in range(starts + 1):
-            order = np.argsort(-self.middle() / self.w, kind="stable") if not s else rng.permutation(len(self.w))
+        for s in range(restarts + 1):
+            order = np.argsort(-self.middle() / self.w, kind="stable") if not s else random.permutation(len(self.w))
             now = float((self.point(order) ** 2 / self.w).sum())
             moved = True
             while moved:
@@ -210,8 +210,8 @@ class Ordering:
                     continue
                 x = self.alone[i] - self.pull[i, on].sum()
                 child, total = mask | 1 << i, value + x * x / self.w[i]
-                if seen.get(child, -np.inf) >= total:
-                    continue
+                if child in seen and seen[child] >= total:
+                    continue  # this set was reached by an order that is no worse
                 seen[child] = total
                 if child == (1 << g) - 1:
                     found = max(found, total)
@@ -234,8 +234,9 @@ class Ordering:
 
 
 def _ranges(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    cum = np.concatenate([[0.0], np.cumsum(counts.sum(0) / counts.sum())])
-    return cum[:-1], cum[1:]
+    share = counts.sum(0) / counts.sum()
+    upto = np.cumsum(share)
+    return np.maximum(upto - share, 0.0), upto
 
 
 def split_lower_limit(tables: list[np.ndarray], rng: np.random.Generator, splits: int = 25, alpha: float = 0.05) -> float:
@@ -287,13 +288,13 @@ def _along(z: np.ndarray, part: list[np.ndarray], full: list[np.ndarray], n_cell
     """Estimate, variance and degrees of freedom of the covariance of ranks with z."""
     total, terms, dfs = 0.0, [], []
     for s, (b, f) in enumerate(zip(part, full)):
-        ns = n_cell[:, s].sum()
-        if not ns:
+        here = n_cell[:, s]
+        if not here.any():
             continue
         below = np.triu(np.ones((b.shape[1], b.shape[1])), 1)  # cells are in order
         mb, mf = b.sum(1), f.sum(1)
         gap = z[:, None] - z
-        weight = np.where((gap > 0) & (mf > 0)[:, None] & (mf > 0), np.outer(n_cell[:, s], n_cell[:, s]) / (n * ns) * gap, 0.0)
+        weight = np.where((gap > 0) & (mf > 0)[:, None] & (mf > 0), np.outer(here, here / here.sum()) / n * gap, 0.0)
         fb, ff = b / np.maximum(mb, 1)[:, None], f / np.maximum(mf, 1)[:, None]
         both = np.outer(mb > 0, mb > 0)
         under = (fb @ below @ fb.T).T
@@ -308,9 +309,9 @@ def _along(z: np.ndarray, part: list[np.ndarray], full: list[np.ndarray], n_cell
         pairs = np.outer(mf, mf)
         theta = ((ff @ below @ ff.T).T * pairs + 0.5) / (pairs + 1)
         second = float(np.where(both, used**2 * theta * (1 - theta) / np.maximum(np.outer(mb, mb), 1), 0.0).sum())
-        if second > 0:
-            terms.append(second)
-            dfs.append(math.inf)
+        # of pairs, as exact as their number
+        terms += [second] * (second > 0)
+        dfs += [math.inf] * (second > 0)
     t = np.array(terms)
     v = float(t.sum())
     spread = float((t * t / np.array(dfs)).sum()) if terms else 0.0
@@ -371,7 +372,9 @@ def _jackknife(c: np.ndarray, v: np.ndarray, allowed: np.ndarray, ratio: float,
     k = 1 / (ratio * total * total * (1 - null))
     one, two = 2 * f * total * s1 / m - 2 * num * mean, num - f * total
     mu = (c @ pow_ + (allowed @ pow_) / allowed.sum(1, keepdims=True)) / (m + 1)[:, None]
-    var = one**2 * (mu[:, 1] - mu[:, 0] ** 2) + 2 * one * two * (mu[:, 2] - mu[:, 0] * mu[:, 1]) + two**2 * (mu[:, 3] - mu[:, 1] ** 2)
+    m1, m2, m3, m4 = mu.T
+    linear, square, both = m2 - m1 * m1, m4 - m2 * m2, m3 - m1 * m2
+    var = (one * one * linear) + (two * two * square) + 2 * (one * two * both)
     return math.sqrt(float((m * m / np.maximum(m - 1, 1) * np.maximum(k * k * var, 0)).sum()))
 
 
@@ -439,8 +442,8 @@ def share_interval(c: np.ndarray, values: np.ndarray, stratum: np.ndarray, adj:
     v0 = _scored(values, stratum, c.sum(0))
     vw = _scored(values, stratum, law.T @ m)
     mu, m2, w = law @ vw, law @ vw**2, m / m.sum()
-    between = float(w @ (mu - w @ mu) ** 2)
-    truth = between / (between + float(w @ (m2 - mu * mu)))
+    apart, inside = float(w @ mu**2 - (w @ mu) ** 2), float(w @ (m2 - mu * mu))
+    truth = apart / (apart + inside)
     noise = cv_sd / math.sqrt(repeats) / (1 - null) if repeats > 1 and math.isfinite(cv_sd) else 0.0
     shuffled, studs = [], []
     for _ in range(perms):

@@ -166,11 +166,11 @@ def run(spark: SparkSession, config: str | Config, out: str | None = None) -> Da
 
 def report(df: DataFrame) -> str:
     """The result rows as a Markdown table per feature."""
-    lines, at = ["# Results", ""], None
+    lines, at, shown = ["# Results", ""], None, ("analysis", "estimate", "lower", "upper", "p", "q", "conclusion")
     num = lambda v: "" if v is None else f"{v:.4g}"
     for r in df.orderBy("level", "feature", "analysis").toLocalIterator():
         if (r.level, r.feature) != at:
             at = (r.level, r.feature)
-            lines += ["", f"## {r.feature} ({r.level})", "", "| analysis | estimate | lower | upper | p | q | conclusion |", "|---|---|---|---|---|---|---|"]
+            lines += ["", f"## {r.feature} ({r.level})", "", "| " + " | ".join(shown) + " |", "|" + "---|" * len(shown)]
         lines.append(f"| {r.analysis} | {num(r.estimate)} | {num(r.lower)} | {num(r.upper)} | {num(r.p)} | {num(r.q)} | {r.conclusion} |")
-    return "\n".join(lines) + "\n"
+    return "\n".join([*lines, ""])

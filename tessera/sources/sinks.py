@@ -7,10 +7,10 @@ import hashlib
 import json
 import math
 import os
-import shutil
 import tempfile
 from collections.abc import Callable
 from pathlib import Path
+from shutil import rmtree
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -77,16 +77,16 @@ def publish(target: str, fill: Callable[[Path], None]) -> None:
                 old.rename(p)
             raise
     except BaseException:
-        shutil.rmtree(stage, ignore_errors=True)
+        rmtree(stage, ignore_errors=True)
         raise
-    shutil.rmtree(old, ignore_errors=True)
+    rmtree(old, ignore_errors=True)
 
 
 def write_csv(df: DataFrame, path: Path, order: list[str]) -> int:
     """Result rows are few: they are sorted, streamed to the driver and written as UTF-8 with a signature."""
     n = 0
-    with path.open("w", encoding="utf-8-sig", newline="") as f:
-        w = csv.writer(f)
+    with path.open("w", newline="", encoding="utf-8-sig") as target:
+        w = csv.writer(target)
         w.writerow(df.columns)
         for r in df.orderBy(*order).toLocalIterator():
             w.writerow([safe_cell(v) for v in r])
@@ -99,7 +99,8 @@ def write_json(value: Any, path: Path) -> None:
 
 
 def read_record(path: str) -> dict[str, Any]:
-    record = json.loads(Path(path).read_text(encoding="utf-8"))
+    with open(path, "rb") as f:
+        record = json.load(f)
     if record.get("schema_version") != SCHEMA_VERSION:
         raise ValueError(f"{path} has schema {record.get('schema_version')!r}, not {SCHEMA_VERSION!r}")
     return record

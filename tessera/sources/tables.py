@@ -13,7 +13,7 @@ from tessera.config import Config, ConfigError
 from tessera.functions import text
 from tessera.operators import ingest
 
-_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_SHEET = "{*}"  # any namespace
 
 
 def separator(spark: SparkSession, path: str) -> str:
@@ -38,19 +38,19 @@ def read_workbook(spark: SparkSession, path: str, what: str = "table") -> DataFr
     try:
         with zipfile.ZipFile(path) as z:
             sheets = sorted(n for n in z.namelist() if n.startswith("xl/worksheets/sheet"))
-            if len(sheets) != 1:
-                raise ConfigError(f"{what} {path} has {len(sheets)} sheets; keep one")
-            shared = ["".join(t.text or "" for t in si.iter(_SHEET + "t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
+            if not sheets or sheets[1:]:
+                raise ConfigError(f"one sheet is read, and {path} ({what}) holds {len(sheets)} sheets")
+            shared = ["".join(t.text or "" for t in si.findall(f".//{_SHEET}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
             rows: list[dict[int, str]] = []
-            for row in ET.fromstring(z.read(sheets[0])).iter(_SHEET + "row"):
+            for row in ET.fromstring(z.read(sheets[0])).findall(f".//{_SHEET}row"):
                 cells: dict[int, str] = {}
-                for i, c in enumerate(row.iter(_SHEET + "c")):
+                for i, c in enumerate(row.findall(f".//{_SHEET}c")):
                     ref = "".join(x for x in c.get("r", "") if x.isalpha())
                     at = 0
                     for x in ref:
                         at = at * 26 + ord(x) - 64
                     v = c.find(_SHEET + "v")
-                    value = "".join(t.text or "" for t in c.iter(_SHEET + "t")) if c.get("t") == "inlineStr" else "" if v is None else v.text or ""
+                    value = "".join(t.text or "" for t in c.findall(f".//{_SHEET}t")) if c.get("t") == "inlineStr" else "" if v is None else v.text or ""
                     cells[at - 1 if ref else i] = shared[int(value)] if c.get("t") == "s" and value else value
                 rows.append(cells)
     except (zipfile.BadZipFile, ET.ParseError, KeyError, OSError) as e:
@@ -64,9 +64,10 @@ def read_workbook(spark: SparkSession, path: str, what: str = "table") -> DataFr
 
 def read_table(spark: SparkSession, path: str, what: str = "table") -> DataFrame:
     """By its ending: a workbook, Parquet, or separated text."""
-    if path.lower().endswith((".xlsx", ".xlsm")):
+    ending = path.lower().rstrip("/").rpartition(".")[2]
+    if ending in ("xlsm", "xlsx"):
         return read_workbook(spark, path, what)
-    if path.lower().rstrip("/").endswith(".parquet"):
+    if ending == "parquet":
         df = spark.read.parquet(path)
         return df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns])
     return read_text(spark, path, what)
