@@ -34,10 +34,11 @@ def rows(df: DataFrame, analysis: str, **cols: Column | str | None) -> DataFrame
 
 
 def concluded(df: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """What a row lets one say."""
-    good = (F.col("lower") > 0) & (F.coalesce("q", "p") <= alpha)
-    text = F.when(F.col("status") == "unavailable", "not estimable").when(F.coalesce(good, F.lit(False)), "established").when(F.col("status") == "full_range", "whole range").otherwise("not established")
-    return df.withColumn("conclusion", F.coalesce("conclusion", text))
+    """What a row lets one say: established by a lower end above zero with an adjusted p, by a lower confidence limit above zero, or by selection of an e-value or component."""
+    kind, yes = F.col("analysis"), lambda c: F.coalesce(c, F.lit(False))
+    good = yes((F.col("lower") > 0) & (F.coalesce("q", "p") <= alpha)) | yes(kind.endswith("lower_limit") & (F.col("lower") > 0)) | yes((kind.endswith("evidence") | kind.startswith("decomposition")) & F.col("selected"))
+    said = F.when(F.col("status") == "unavailable", "not estimable").when(kind == "finite_collection_prevalence", "described").when(good, "established").when(F.col("status") == "full_range", "whole range").otherwise("not established")
+    return df.withColumn("conclusion", F.coalesce("conclusion", said))
 
 
 def call_rows(obs: DataFrame, cfg: Config, intervals: bool = True, bounds: bool = True) -> list[DataFrame]:
