@@ -84,7 +84,7 @@ def probability_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.n
     return float((1 / ((cx[-1] - cx[below] + only_x) / x + (cy[below] + only_y) / y)).sum())
 
 
-def sign(docs: DataFrame, key: str, text: str, width: int, m: int, slice_bytes: int = 4 << 20) -> DataFrame:
+def sign(docs: DataFrame, key: str, text: str, width: int, m: int, slice_bytes: int = 2 << 20) -> DataFrame:
     """(doc_id, same, n, sig): same is a 128-bit digest of the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
