@@ -26,7 +26,7 @@ def kitagawa(obs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     within = (F.col("wa") + F.col("wb")) / 2 * (F.col("pa") - F.col("pb"))
     on = lambda x: F.coalesce(F.sum(F.when(F.col("shared"), x)), F.lit(0.0))
     out = sides(obs, keys, a, b).groupBy(*keys).agg(
-        F.sum(comp).alias("composition"), F.sum(within).alias("within"), (F.sum("sa") / F.sum("na") - F.sum("sb") / F.sum("nb")).alias("difference"), on(F.col("wa")).alias("support_a"), on(F.col("wb")).alias("support_b"),
+        F.sum(comp).alias("composition"), F.sum(within).alias("within"), (F.sum("sa") / F.nullif(F.sum("na"), F.lit(0.0)) - F.sum("sb") / F.nullif(F.sum("nb"), F.lit(0.0))).alias("difference"), on(F.col("wa")).alias("support_a"), on(F.col("wb")).alias("support_b"),
         on(comp).alias("composition_shared"), F.count_if("shared").alias("n_shared"), F.count_if(F.col("nb") == 0).alias("only_a"), F.count_if(F.col("na") == 0).alias("only_b"), F.sum("na").cast("long").alias("n_a"), F.sum("nb").cast("long").alias("n_b"),
     )
     return out.withColumns({"nonshared": F.col("composition") - F.col("composition_shared"), "shared_support": F.least("support_a", "support_b"), "residual": F.col("difference") - F.col("composition") - F.col("within")}).withColumn("admitted", F.col("shared_support") >= GATE)

@@ -72,9 +72,9 @@ def anova(obs: DataFrame, by: list[str]) -> DataFrame:
     cells = group_sums(repeated(obs, by), by)
     n, s, q, g = F.sum("m"), F.sum("s"), F.sum("q"), F.count(F.lit(1))
     raw = F.sum(F.col("s") * F.col("s") / F.col("m"))
-    a = cells.groupBy(*by).agg(n.alias("n"), g.alias("n_groups"), raw.alias("ss_raw"), (raw - s * s / n).alias("ss_between"), (q - s * s / n).alias("ss_total"), ((n - F.sum(F.col("m") * F.col("m")) / n) / (g - 1)).alias("n0"))
+    a = cells.groupBy(*by).agg(n.alias("n"), g.alias("n_groups"), raw.alias("ss_raw"), (raw - s * s / n).alias("ss_between"), (q - s * s / n).alias("ss_total"), ((n - F.sum(F.col("m") * F.col("m")) / n) / F.nullif(g - 1, F.lit(0))).alias("n0"))
     a = a.withColumns({"msb": F.col("ss_between") / F.nullif(F.col("n_groups") - 1, F.lit(0)), "msw": (F.col("ss_total") - F.col("ss_between")) / F.nullif(F.col("n") - F.col("n_groups"), F.lit(0))})
-    comp = F.greatest(F.lit(0.0), (F.col("msb") - F.col("msw")) / F.col("n0"))
+    comp = F.greatest(F.lit(0.0), (F.col("msb") - F.col("msw")) / F.nullif(F.col("n0"), F.lit(0.0)))
     return a.withColumns({"r2": F.when(F.col("ss_total") > 0, F.col("ss_between") / F.col("ss_total")), "component": comp, "icc": F.when(comp + F.col("msw") > 0, comp / (comp + F.col("msw"))), "f": F.when(F.col("msw") > 0, F.col("msb") / F.col("msw"))})
 
 
@@ -102,7 +102,7 @@ def kruskal(values: DataFrame, by: list[str]) -> DataFrame:
     whole = ranked.groupBy(*by).agg(n.alias("n"), F.sum(F.col("_t") * F.col("_t") - 1).alias("ties"))
     parts = ranked.groupBy(*by, "grp").agg((F.pow(F.sum("_mid"), F.lit(2)) / F.count(F.lit(1))).alias("p")).groupBy(*by).agg(F.sum("p").alias("p"), F.count(F.lit(1)).alias("n_groups"))
     h = F.lit(12.0) / (F.col("n") * (F.col("n") + 1)) * F.col("p") - 3 * (F.col("n") + 1)
-    return whole.join(parts, by).select(*by, "n", "n_groups", (h / (1 - F.col("ties") / (F.pow(F.col("n").cast("double"), F.lit(3)) - F.col("n")))).alias("h"))
+    return whole.join(parts, by).select(*by, "n", "n_groups", (h / F.nullif(1 - F.col("ties") / F.nullif(F.pow(F.col("n").cast("double"), F.lit(3)) - F.col("n"), F.lit(0.0)), F.lit(0.0))).alias("h"))
 
 
 def finite_bounds(obs: DataFrame, by: list[str]) -> DataFrame:

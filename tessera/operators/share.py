@@ -76,7 +76,7 @@ def fold_average(obs: DataFrame, by: list[str]) -> DataFrame:
 def share(obs: DataFrame, by: list[str], folds: int = 5, repeats: int = 20, perms: int = 99, within: list[str] | None = None) -> DataFrame:
     """(by) -> kappa, null_mean, kappa_adj, fold_ratio and the closed form's share of it."""
     k = cv_skill(obs, by, folds, repeats).join(control(obs, by, folds, perms, within), by).join(fold_average(obs, by), by)
-    ratio = F.col("denominator") / F.col("total")
+    ratio = F.col("denominator") / F.nullif(F.col("total"), F.lit(0.0))
     k = k.withColumns({"kappa_adj": debias(F.col("kappa"), F.col("null_mean")), "fold_ratio": ratio, "closed": F.when((F.col("total") > 0) & (ratio > 0), 1 - F.col("within") / (ratio * F.col("total")))})
     return k.select(*by, "kappa", "cv_sd", "null_mean", "kappa_adj", "fold_ratio", "closed", debias(F.col("closed"), F.col("null_mean")).alias("closed_adj"))
 
