@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import staged
 
 _BROADCAST_SOURCES = 100_000
+_BLOCK = 10_000
 
 
 def uniform(*key: Column | str) -> Column:
@@ -17,21 +18,27 @@ def uniform(*key: Column | str) -> Column:
 
 
 def poisson_inverse(u: Column, rate: Column) -> Column:
-    """The least k with u < P(X <= k) for X ~ Poisson(rate), summed term by term; 0 where rate is not positive.
+    """The least k with u < P(X <= k) for X ~ Poisson(rate), as a long, summed term by term; 0 where rate is not positive.
 
-    The sum ends at rate + 12 sqrt(rate) + 30, beyond which less than 2^-48 of the mass lies. Rates over
-    700, where exp(-rate) would vanish, are refused.
+    The sum ends at rate + 12 sqrt(rate) + 30, beyond which less than 2^-48 of the mass lies. Over a rate of 700, where exp(-rate) would vanish, it
+    starts at rate - 12 sqrt(rate), below which less than exp(-72) lies, with terms relative to the first and u scaled by their sum.
     """
-    steps = F.sequence(F.lit(1), F.ceil(rate + F.lit(12.0) * F.sqrt(rate) + F.lit(30.0)).cast("int"))
-    p0 = F.exp(-rate)
-    start = F.struct(F.lit(0).alias("k"), p0.alias("p"), p0.alias("c"))
+    reach = F.lit(12.0) * F.sqrt(rate)
+    last = F.ceil(rate + reach + F.lit(30.0)).cast("long")
 
-    def more(acc: Column, i: Column) -> Column:
-        p = acc["p"] * rate / i.cast("double")
-        return F.when(u < acc["c"], acc).otherwise(F.struct(i.cast("int").alias("k"), p.alias("p"), (acc["c"] + p).alias("c")))
+    def summed(first: Column, p0: Column, target: Column | None) -> Column:
+        start = F.struct(first.alias("k"), p0.alias("p"), p0.alias("c"))
 
-    count = F.aggregate(steps, start, more, lambda acc: acc["k"])
-    return F.when(rate > F.lit(700.0), F.raise_error(F.lit("a source's repetition rate is over 700")).cast("int")).when(rate > F.lit(0.0), count).otherwise(F.lit(0))
+        def more(acc: Column, i: Column) -> Column:
+            p = acc["p"] * rate / i.cast("double")
+            on = F.struct(i.alias("k"), p.alias("p"), (acc["c"] + p).alias("c"))
+            return on if target is None else F.when(target < acc["c"], acc).otherwise(on)
+
+        return F.aggregate(F.sequence(first + F.lit(1), last), start, more, lambda acc: acc["c"] if target is None else acc["k"])
+
+    low = F.floor(rate - reach).cast("long")
+    far = summed(low, F.lit(1.0), u * summed(low, F.lit(1.0), None))
+    return F.when(rate > F.lit(700.0), far).when(rate > F.lit(0.0), summed(F.lit(0).cast("long"), F.exp(-rate), u)).otherwise(F.lit(0).cast("long"))
 
 
 def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", total: float | None = None) -> DataFrame:
@@ -78,7 +85,9 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
         keyed = docs.withColumn("_part", F.pmod(F.xxhash64(F.col(key)), F.lit(32)).cast("int"))
         joined = keyed.join(salted, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_part") == F.col("_salt")))
     counted = joined.withColumn("_copies", poisson_inverse(uniform(seed, F.col(key)), F.col("_rate"))).filter(F.col("_copies") > 0)
-    copies = counted.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - F.lit(1))))
+    # copies in blocks, so that no row needs an array of them all
+    blocks = counted.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("_copies") - F.lit(1), F.lit(0)), F.lit(_BLOCK).cast("long"))))
+    copies = blocks.withColumn("_copy", F.explode(F.sequence(F.col("_part"), F.least(F.col("_part") + F.lit(_BLOCK), F.col("_copies")) - F.lit(1))))
     ordered = copies.withColumn("_order", F.md5(F.concat_ws("|", F.lit(seed + "-order"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("_copy").cast("string"))))
     return ordered.select(*names, "_rate", "_copies", "_copy", "_order").orderBy("_order")
 

@@ -41,7 +41,7 @@ def op5_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source at the same weight, as many documents in all as there are."""
     out = mixing.mix_sources(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "source", F.length("text").cast("long").alias("n_text"), F.sha2("text", 256).alias("text_sha256"), F.col("_copies").alias("copies"), F.col("_copy").alias("copy"), F.col("_order").alias("mix_order"))
+    return out.select("doc_id", "source", F.length("text").cast("long").alias("n_text"), F.sha2("text", 256).alias("text_sha256"), F.col("_copies").cast("int").alias("copies"), F.col("_copy").cast("int").alias("copy"), F.col("_order").alias("mix_order"))
 
 
 def op7_disclosure_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
