@@ -41,7 +41,7 @@ FOUND = "inst long, first binary, last binary"
 
 @dataclass(frozen=True)
 class Plan:
-    """n, k: symbols of a window and of a trigger. words: symbols are words, else bytes. heavy: distinct phrases of a trigger beyond which its windows are split."""
+    """n, k: symbols of a window and of a trigger. words: symbols are words, else bytes. heavy: phrases of a trigger, one for each slice that asks, beyond which its windows are split."""
 
     n: int
     k: int
@@ -226,15 +226,16 @@ def _judge(key: np.ndarray, h: np.ndarray, doc: np.ndarray, heavy: int) -> np.nd
     k, p, d = key[order], h[order], doc[order]
     new_key = np.concatenate([[True], k[1:] != k[:-1]])
     new = new_key | np.concatenate([[True], p[1:] != p[:-1]])
-    code = np.zeros(len(k), np.uint8)
     first = np.flatnonzero(new)
-    code[d > np.repeat(d[first], np.diff([*first, len(d)]))] = 1
+    each = np.diff([*first, len(d)])
+    # all askers of a phrase's least document: a row may be repeated in several slices
+    least = d == np.repeat(d[first], each)
     # phrases that differ under one trigger: compared unless all their first documents are one
     keys = np.flatnonzero(new_key[first])
     lo, hi = np.minimum.reduceat(d[first], keys), np.maximum.reduceat(d[first], keys)
-    size = np.diff([*keys, len(first)])
+    size = np.add.reduceat(least.astype(np.int64), np.flatnonzero(new_key))
     kind = np.where(hi > lo, np.where(size > heavy, 3, 2), 0).astype(np.uint8)
-    code[first] = np.repeat(kind, size)
+    code = np.where(least, np.repeat(np.repeat(kind, np.diff([*keys, len(first)])), each), 1).astype(np.uint8)
     out = np.empty_like(code)
     out[order] = code
     return out
