@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from tessera.llm.common import slices, utf8
 
 SPAN = 512
-_EMIT = 1 << 30
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -49,57 +48,87 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 @dataclass
 class Model:
-    """classes: of each code point, 0 for what separates words. letters: which code points are letters. table: where a state goes on a class, all languages one after another,
-    both already multiplied by the number of classes; _EMIT is added where a phrase ends."""
+    """classes: of each code point, 0 for what separates words. letters: which code points are letters. first: where a phrase goes on its first class, by language.
+    A state is the base of its transitions: slots[base + class] holds the base it belongs to, in the upper 32 bits, and the next state. roots: states without transitions."""
 
     langs: list[str]
     classes: np.ndarray
     letters: np.ndarray
-    table: np.ndarray
+    first: np.ndarray
+    slots: np.ndarray
     roots: np.ndarray
-    width: int
     bits: np.ndarray
 
 
-def build(texts: dict[str, str], most_classes: int = 60) -> Model:
-    """The model of one reference text per language."""
+def _pack(auto: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bases of the states, no two alike, and slots with the base and the next state of each transition; the root keeps none."""
+    base = np.zeros(len(auto), np.int64)
+    edges = [{}, *auto[1:]]
+    degree = np.array([len(e) for e in edges])
+    many = [s for s in np.argsort(-degree, kind="stable").tolist() if degree[s] > 1]
+    room = int(degree[degree > 1].sum()) + 2 * width
+    free, taken, low = np.ones(2 * room + width, bool), np.zeros(2 * room + width, bool), 0
+    end = 0
+    for s in many:
+        cs, at = sorted(edges[s]), low
+        while True:
+            if at + 512 + width > len(free):
+                free, taken = np.concatenate([free, np.ones(len(free), bool)]), np.concatenate([taken, np.zeros(len(taken), bool)])
+            b = np.flatnonzero(free[at : at + 512]) + at - cs[0]
+            b = b[b >= 0]
+            b = b[~taken[b]]
+            for c in cs[1:]:
+                b = b[free[b + c]]
+            if len(b):
+                break
+            at += 512
+        base[s] = b[0]
+        taken[b[0]] = True
+        free[b[0] + np.array(cs)] = False
+        end = max(end, int(b[0]) + width)
+        while low + 512 < len(free) and free[low : low + 512].sum() < 64:
+            low += 512
+    # one transition each: slots in a row by falling class, so that no two bases are alike
+    one = np.flatnonzero(degree == 1)
+    label = np.array([next(iter(edges[s])) for s in one.tolist()], np.int64)
+    one, label = one[np.argsort(-label, kind="stable")], -np.sort(-label)
+    base[one] = end + width + np.arange(len(one)) - label
+    end += 2 * width + len(one)
+    none = np.flatnonzero(degree == 0)
+    base[none] = end + np.arange(len(none))
+    slots = np.full(end + len(none) + width, -1, np.int64)
+    for s, e in enumerate(edges):
+        for c, to in e.items():
+            slots[base[s] + c] = base[s] << 32 | base[to]
+    return base, slots
+
+
+def build(texts: dict[str, str]) -> Model:
+    """The model of one reference text per language. Every letter of a reference is a class, whatever its case; letters of none are one more."""
     langs = sorted(texts)
     letters = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-    seen: dict[str, int] = {}
-    for t in texts.values():
-        for c in t.lower():
-            if c.isalpha():
-                seen[c] = seen.get(c, 0) + 1
-    kept = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:most_classes]]
-    code = {c: i + 1 for i, c in enumerate(kept)}
-    other, width = len(kept) + 1, len(kept) + 3  # then padding
-    classes = np.where(letters, other, 0).astype(np.uint8)
-    for i in np.flatnonzero(letters):
-        c = code.get(chr(i).lower())
+    code = {c: i + 1 for i, c in enumerate(sorted({x for t in texts.values() for c in t if c.isalpha() for x in c.lower()[0]}))}
+    width = len(code) + 2
+    classes = np.where(letters, width - 1, 0).astype(np.int32)
+    for i in np.flatnonzero(letters).tolist():
+        c = code.get(chr(i).lower()[0])
         if c:
             classes[i] = c
-    tables, roots, bits, base = [], [], [], 0
+    firsts, tables, roots, bits, at = [], [], [], [], 0
     for lang in langs:
         codes = _squeeze(classes[np.frombuffer(texts[lang].encode("utf-32-le", "surrogatepass"), np.uint32)]).tolist()
         auto = suffix_automaton(codes)
-        t = np.full((len(auto), width), -1, np.int64)
-        for s, edges in enumerate(auto):
-            for c, to in edges.items():
-                t[s, c] = to
-        # a class that the reference lacks is a phrase of its own, held by a last state that nothing continues; the root is left at the first symbol for good
-        root = np.where(t[0] >= 0, t[0], len(auto))
-        t = np.concatenate([t, np.full((1, width), -1, np.int64)])
-        t = np.where(t >= 0, (base + t) * width, (base + root) * width + _EMIT)
-        t[0] &= _EMIT - 1
-        t[:, width - 1] = (base + np.arange(len(t))) * width
-        tables.append(t)
-        roots.append(base * width)
+        base, slots = _pack(auto, width)
+        # a class that the reference lacks is a phrase of its own, which nothing continues, as nothing continues the root
+        first = np.full(width, at + base[0], np.int64)
+        for c, to in auto[0].items():
+            first[c] = at + base[to]
+        firsts.append(first)
+        tables.append(np.where(slots >= 0, slots + (at << 32 | at), -1))
+        roots.append(at + base[0])
         bits.append(math.log2(max(2, len(codes))))
-        base += len(t)
-    table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int64)
-    if len(table) >= _EMIT:
-        raise ValueError("the reference texts are too long for all these languages; lower ref_chars")
-    return Model(langs, classes, letters, table.astype(np.int32), np.array(roots, np.int32), width, np.array(bits))
+        at += len(slots)
+    return Model(langs, classes, letters, np.array(firsts), np.concatenate(tables) if tables else np.zeros(0, np.int64), np.array(roots, np.int64), np.array(bits))
 
 
 def _squeeze(codes: np.ndarray) -> np.ndarray:
@@ -138,15 +167,26 @@ def cross_parse(model: Model, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndar
     n = np.diff(at)
     lanes = -(-n // SPAN)
     base = np.concatenate([[0], np.cumsum(lanes)])
-    grid = np.full(base[-1] * SPAN, model.width - 1, np.int32)
+    grid = np.zeros(base[-1] * SPAN, np.int32)
     grid[np.arange(len(codes)) + np.repeat(base[:-1] * SPAN - at[:-1], n)] = codes
-    steps = np.ascontiguousarray(grid.reshape(-1, SPAN).T)
-    state = np.repeat(model.roots[:, None], base[-1], 1)
-    count, to = np.ones_like(state), np.empty_like(state)
-    for row in steps:
-        np.take(model.table, state + row, out=to, mode="clip")
-        count += to >> 30
-        np.bitwise_and(to, _EMIT - 1, out=state)
+    # the longest spans first, so that those which still go on stand together
+    size = np.full(base[-1], SPAN)
+    size[base[1:][n > 0] - 1] = (n - (lanes - 1) * SPAN)[n > 0]
+    order = np.argsort(-size, kind="stable")
+    steps = np.ascontiguousarray(grid.reshape(-1, SPAN)[order].T)
+    going = len(size) - np.searchsorted(np.sort(size), np.arange(SPAN), "right")
+    count = np.zeros((len(model.langs), base[-1]), np.int32)
+    for lang, root in enumerate(model.roots):
+        state, new = np.full(base[-1], root), np.zeros(base[-1], np.int32)
+        for row, m in zip(steps, going):
+            if not m:
+                break
+            now, row = state[:m], row[:m]
+            to = model.slots[now + row]
+            on = to >> 32 == now
+            new[:m] += ~on
+            state[:m] = np.where(on, to & 0xFFFFFFFF, model.first[lang][row])
+        count[lang, order] = new
     total = np.concatenate([np.zeros((len(model.langs), 1), np.int64), np.cumsum(count, 1)], 1)
     return (total[:, base[1:]] - total[:, base[:-1]]).T, n, has
 
