@@ -118,18 +118,17 @@ def longest_contained(names: DataFrame, idents: DataFrame, name: str, ident: str
     return j.withColumn("_k", F.row_number().over(w)).filter("_k = 1").select(name, ident)
 
 
-def scorable(records: DataFrame, a: str, b: str, key: str = "id", rounds: int = 100) -> DataFrame:
+def scorable(records: DataFrame, a: str, b: str, key: str = "id") -> DataFrame:
     """The largest set of records of which each has at least one other with its label under a and one under b: drop the others until nothing changes."""
     now = records.filter(~text.untyped(F.col(a)) & ~text.untyped(F.col(b)))
     size = now.count()
-    for _ in range(rounds):
+    while True:
         now = now.withColumns({"_a": F.count(F.lit(1)).over(Window.partitionBy(a)), "_b": F.count(F.lit(1)).over(Window.partitionBy(b))}).filter("_a >= 2 AND _b >= 2").drop("_a", "_b")
         now = settled(now)
         smaller = now.count()
         if smaller == size:
-            break
+            return now
         size = smaller
-    return now
 
 
 def split_units(cells: DataFrame, unit: str = "unit") -> DataFrame:
