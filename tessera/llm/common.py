@@ -22,10 +22,16 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); one is made only where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, else the context's checkpoint folder; in local mode one is made where both are unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if set_.isDefined():
+            found = set_.get()
+        elif spark.sparkContext.master.startswith("local"):
+            found = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -35,7 +41,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes staged tables that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_staged_at", None)
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def text_bytes(df: DataFrame, text: str = "text") -> int:
