@@ -15,11 +15,13 @@ Round 3 meets the slice again and cuts. Texts cross the network compressed, once
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import inverse, mix, parts, powers, slices, staged, utf8
 
 _B = 0x9E3779B97F4A7C15 | 1
+_SEED = 0x51ED270B
 _MIX_LEN = np.uint64(0xD6E8FEB86659FD93)
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 _GAP = np.zeros(256, bool)
@@ -74,8 +77,29 @@ def pack(docs: DataFrame, key: str, text: str, plan: Plan) -> DataFrame:
     return staged(docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SLICE), "slices")
 
 
+def word_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, given by where they begin and end: eight bytes at a time through a finaliser, those of over 64 bytes by BLAKE2.
+
+    No sum of powers of a base modulo 2^64 is used, in which long words of two letters can collide whatever the base is.
+    """
+    size = end - begin
+    h = mix(size.astype(np.uint64) * _MIX_LEN)
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(raw) + 1, "<u8", padded.data, strides=(1,))
+    for k in range(0, 64, 8):
+        at = np.flatnonzero((size > k) & (size <= 64))
+        if not len(at):
+            continue
+        left = np.minimum(size[at] - k, 8).astype(np.uint64)
+        chunk = eight[begin[at] + k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - left * np.uint64(8)))
+        h[at] = mix((h[at] ^ chunk) * np.uint64(_B) + _MIX_LEN)
+    for i in np.flatnonzero(size > 64).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(raw[begin[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 class Slice:
-    """A slice's documents, as bytes and as symbols."""
+    """A slice's documents, as bytes and as symbols. Words are kept with one space behind each."""
 
     def __init__(self, ids: bytes, ok: bytes, lens: bytes, size: int, blob: bytes, plan: Plan):
         self.plan = plan
@@ -95,19 +119,23 @@ class Slice:
         if not self.plan.words:
             self.raw, self.off, self.sym_off, self.sym = raw, off, off, _BYTES[raw]
             return
-        # a separator after every document, so that no word crosses
-        self.off = off + np.arange(len(off))
+        # a separator after every document, so that no word crosses; then one space behind every word and no other
+        off = off + np.arange(len(off))
         buf = np.full(len(raw) + len(lens), 0x20, np.uint8)
         inside = np.ones(len(buf), bool)
-        inside[self.off[1:] - 1] = False
+        inside[off[1:] - 1] = False
         buf[inside] = raw
         gap = _GAP[buf]
         before = np.concatenate([[True], gap[:-1]])
-        self.raw, self.begin, self.end = buf, np.flatnonzero(~gap & before), np.flatnonzero(gap & ~before)
-        p, q = powers(_B, len(buf)), powers(inverse(_B), len(buf))
-        c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[buf] * p[: len(buf)], dtype=np.uint64)])
-        self.sym = mix((c[self.end] - c[self.begin]) * q[self.begin] + (self.end - self.begin).astype(np.uint64) * _MIX_LEN)
-        self.sym_off = np.searchsorted(self.begin, self.off)
+        begin, end = np.flatnonzero(~gap & before), np.flatnonzero(gap & ~before)
+        keep = ~gap
+        keep[end] = True
+        buf[end] = 0x20
+        place = np.cumsum(keep) - 1
+        self.raw, self.begin, self.end = buf[keep], place[begin], place[end]
+        self.sym_off = np.searchsorted(begin, off)
+        self.off = np.concatenate([self.begin, [len(self.raw)]])[self.sym_off]
+        self.sym = word_hashes(self.raw, self.begin, self.end)
 
     def windows(self, every: bool = False) -> np.ndarray:
         """Which symbols start a window, of documents with an id unless `every`."""
@@ -150,9 +178,9 @@ class Slice:
         stop = valid.copy()
         stop[:-1] &= ~valid[1:] | new[1:]
         b = np.flatnonzero(stop)
-        p, q = powers(_B, len(x)), powers(inverse(_B), len(x))
-        c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(x) * p[: len(x)], dtype=np.uint64)])
-        h = mix((c[b + n] - c[a]) * q[a] + (b - a + n).astype(np.uint64) * _MIX_LEN)
+        lo, hi = (self.begin[a], self.end[b + n - 1]) if self.plan.words else (a, b + n)
+        view, digest = memoryview(self.raw.data), xxhash.xxh3_64_intdigest
+        h = np.fromiter((digest(view[i:j], _SEED) for i, j in zip(lo.tolist(), hi.tolist())), np.uint64, len(lo))
         return a, b, least[a], h, np.searchsorted(self.sym_off, a, "right") - 1
 
     def questions(self, bins: int) -> tuple[np.ndarray, ...]:
@@ -406,8 +434,7 @@ def cut(packed: DataFrame, told: DataFrame, found: DataFrame, plan: Plan, bins:
         base = np.repeat(s.sym_off[:-1], np.diff(of))
         spans = pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.StructArray.from_arrays([pa.array(lo - base, pa.int64()), pa.array(hi - base, pa.int64())], names=["start", "end"]))
         if plan.words:
-            raw = s.raw.copy()
-            raw[s.end] = 0x20
+            raw = s.raw
             edge = np.zeros(len(raw) + 1, np.int8)
             edge[s.begin[~gone]] += 1
             edge[s.end[~gone] + 1] -= 1  # with the separator behind
