@@ -5,46 +5,96 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
+from tessera.llm.common import mix
 from tessera.llm.repeats import Plan, Slice, remove_repeats
 
 
-def dictionary_order(raw: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix array of a dictionary at the given starts, by the first n bytes in lexicographic order, and the class of equal strings of each start.
+def _doubled(rank: np.ndarray, left: np.ndarray, length: int) -> np.ndarray:
+    """Ranks of suffixes by all their symbols, from ranks by their first `length`: prefix doubling until no class splits. left: symbols up to each suffix's end."""
+    classes = int(rank.max()) + 1 if len(rank) else 0
+    while len(rank) and length < left.max():
+        more = left > length
+        after = np.zeros(len(rank), np.int64)
+        at = np.flatnonzero(more)
+        after[at] = rank[at + length] + 1
+        values, rank = np.unique(rank * (classes + 1) + after, return_inverse=True)
+        if len(values) == classes:
+            break
+        classes, length = len(values), 2 * length
+    return rank
 
-    The bytes are read eight at a time as big-endian numbers, whose order is the order of the strings.
-    """
+
+def _eight(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a big-endian number, whose order is the order of the strings; zeros follow the end."""
     wide = np.concatenate([raw, np.zeros(8, np.uint8)]).astype(np.uint64)
-    eight = np.zeros(len(raw), np.uint64)
+    out = np.zeros(len(raw), np.uint64)
     for j in range(8):
-        eight |= wide[j : j + len(raw)] << np.uint64(56 - 8 * j)
-    if n < 8:
-        columns = [eight[at] >> np.uint64(64 - 8 * n)]
-    else:
-        columns = [eight[at + j] for j in [*range(0, n - 7, 8), *([n - 8] if n % 8 else [])]]
-    order = np.lexsort(columns[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for c in columns:
-        sorted_ = c[order]
-        new[1:] |= sorted_[1:] != sorted_[:-1]
-    cls = np.empty(len(order), np.int64)
-    cls[order] = np.cumsum(new) - 1
-    return order, cls
+        out |= wide[j : j + len(raw)] << np.uint64(56 - 8 * j)
+    return out
+
+
+def parse(raw: np.ndarray, window: int = 8, modulus: int = 24) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The prefix-free parse of a text: where its phrases begin, their numbers, and the dictionary.
+
+    A trigger is a place whose `window` bytes (at most 8) have a hash that the modulus divides. A phrase goes from one trigger to the end of the next, so neighbours overlap by `window`
+    bytes; the text is followed by `window` zero bytes, which end the last phrase.
+    """
+    text = np.concatenate([raw, np.zeros(window, np.uint8)])
+    hashed = mix((_eight(text)[: len(raw)] >> np.uint64(64 - 8 * window)) + np.uint64(1))
+    start = np.unique(np.concatenate([[0], np.flatnonzero(hashed % np.uint64(modulus) == 0)])).astype(np.int64)
+    stop = np.concatenate([start[1:], [len(raw)]]) + window
+    whole, numbers = text.tobytes(), {}
+    number = np.array([numbers.setdefault(whole[i:j], len(numbers)) for i, j in zip(start.tolist(), stop.tolist())], np.int64)
+    return start, number, list(numbers)
+
+
+def corpus_order(raw: np.ndarray, at: np.ndarray, window: int = 8, modulus: int = 24) -> np.ndarray:
+    """The order of the suffixes of a text that begin at the given places, from the suffix arrays of its dictionary and of its parse.
+
+    A suffix begins with a proper suffix, longer than a trigger, of its phrase; by the order of those among all suffixes of the dictionary, none of which is a prefix of another,
+    and where they are equal by the order of the rest of the parse, the suffixes of the text are in lexicographic order.
+    """
+    if not len(at):
+        return np.zeros(0, np.int64)
+    start, number, dictionary = parse(raw, window, modulus)
+    size = np.array([len(x) for x in dictionary])
+    begin = np.concatenate([[0], np.cumsum(size)])
+    left = np.repeat(begin[1:], size) - np.arange(begin[-1])
+    eight = _eight(np.frombuffer(b"".join(dictionary), np.uint8))
+    short = np.minimum(left, 8).astype(np.uint64)
+    eight &= np.uint64(0xFFFFFFFFFFFFFFFF) << (np.uint64(64) - short * np.uint64(8))
+    order = np.lexsort((short, eight))
+    new = np.zeros(len(order), np.int64)
+    new[1:] = (eight[order][1:] != eight[order][:-1]) | (short[order][1:] != short[order][:-1])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+    in_dictionary = _doubled(rank, left, 8)
+    first = in_dictionary[begin[:-1]][number]
+    in_parse = np.concatenate([_doubled(np.unique(first, return_inverse=True)[1], np.arange(len(first), 0, -1), 1), [-1]])
+    phrase = np.searchsorted(start, at, "right") - 1
+    return np.lexsort((in_parse[phrase + 1], in_dictionary[begin[number[phrase]] + at - start[phrase]]))
 
 
 def _index(s: Slice, at: np.ndarray) -> np.ndarray:
-    return dictionary_order(s.raw, at, s.plan.n)[1]
+    """The class of equal strings of n bytes of each start: they are neighbours in corpus order, and are compared byte by byte."""
+    n, order, eight = s.plan.n, corpus_order(s.raw, at), _eight(s.raw)
+    new = np.zeros(len(order), bool)
+    for j, bits in [*((j, 64) for j in range(0, n - 7, 8)), *([(n - n % 8, 8 * (n % 8))] if n % 8 else [])]:
+        column = eight[at[order] + j] >> np.uint64(64 - bits)
+        new[1:] |= column[1:] != column[:-1]
+    cls = np.empty(len(order), np.int64)
+    cls[order] = np.cumsum(new)
+    return cls
 
 
 def remove_repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, trigger: int = 24, heavy: int = 50_000, **sizes: int) -> DataFrame:
     """(doc_id, n_units, n_removed, spans, kept): UTF-8 bytes without those covered by a string of `length` bytes that also starts in a document of smaller id.
 
-    Rolling hashes of `trigger` bytes cut every text into phrases: a phrase ends where the least hash of the coming `length` bytes changes.
-    Phrases overlap by length - 1 bytes, so the parse is prefix-free in the sense needed here: each string of the length lies in exactly one phrase,
-    and its places in the corpus are those of the dictionary's phrases that hold it, found through the parse. The dictionary keeps a phrase once, with its least document;
-    the parse (each text's phrases by number) gives all other places their verdict. Where different phrases share a trigger, the suffix array
-    of that part of the dictionary brings their strings into corpus order, equal ones side by side, and the least document of each run decides.
-    Repetitive text thus costs its distinct phrases only. Phrases are told apart by 32 bits of the trigger's hash and 56 of their own; strings in the suffix arrays are compared byte by byte.
+    Rolling hashes of `trigger` bytes cut every text into passages that overlap by length - 1 bytes: a passage ends where the least hash of the coming `length` bytes changes, so
+    each string of the length lies in exactly one, and equal strings in passages of one trigger. A passage is kept once, with its least document. Those of one trigger form a text
+    of a few MB whose prefix-free parse is taken: phrases from trigger to trigger, the suffix arrays of dictionary and parse, and from both the order of all suffixes, in which equal
+    strings are neighbours; the least document of each run decides. Repetitive text thus costs its distinct phrases only.
+    Passages are told apart by 32 bits of the trigger's hash and 56 of their own; strings in the suffix arrays are compared byte by byte.
 
     Matches never cross documents. Null and empty texts have no bytes; rows with a null id lose nothing and cause no removal; rows that share an id don't act on each other;
     repeated rows have one result each; an empty table gives no rows; other columns are not read. kept is binary, as a cut may fall inside a character.
