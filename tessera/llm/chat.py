@@ -28,13 +28,18 @@ MAPPINGS: list[dict[str, Any]] = [
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 
 
-def paths(value: Any, at: str = "") -> set[str]:
+def paths(value: Any) -> set[str]:
     """Leaf paths of a record; list elements are [] and an empty list is a path of its own."""
-    if isinstance(value, dict):
-        return set().union(*(paths(v, f"{at}.{k}" if at else k) for k, v in value.items())) if value else set()
-    if isinstance(value, list):
-        return set().union(*(paths(v, f"{at}[]") for v in value)) if value else {f"{at}[]"}
-    return {at}
+    found, open_ = set(), [(value, "")]
+    while open_:
+        value, at = open_.pop()
+        if isinstance(value, dict):
+            open_ += [(v, f"{at}.{k}" if at else k) for k, v in value.items()]
+        elif isinstance(value, list) and value:
+            open_ += [(v, f"{at}[]") for v in value]
+        else:
+            found.add(f"{at}[]" if isinstance(value, list) else at)
+    return found
 
 
 def fingerprint(found: set[str] | list[str]) -> str:
@@ -115,7 +120,7 @@ def format_records(records: DataFrame, record: str = "record", mappings: list[di
     """records with _fingerprint, _layout, _formatted and _loss (spans of code points) for a column of JSON texts.
 
     Paths that no mapping names (ids, scores, extra fields) don't enter the fingerprint. A record whose
-    fingerprint is unknown, that is null or no JSON, has layout null and an empty formatted text. Records
+    fingerprint is unknown, that is null or no JSON, or nested too deep to be read, has layout null and an empty formatted text. Records
     are independent, so memory is bounded by a batch of them; a conversation is one record however long. An empty table gives no rows; an input column
     with one of the new names is replaced.
     """
@@ -129,11 +134,14 @@ def format_records(records: DataFrame, record: str = "record", mappings: list[di
             for raw in b[record]:
                 try:
                     value = json.loads(raw) if isinstance(raw, str) else None
-                except ValueError:
+                except (ValueError, RecursionError):
                     value = None
                 print_ = fingerprint(paths(value) & named) if isinstance(value, dict) else None
                 m = known.get(print_) if print_ else None
-                text, spans = render(turns_of(value, m, alias)) if m else ("", [])
+                try:
+                    text, spans = render(turns_of(value, m, alias)) if m else ("", [])
+                except RecursionError:
+                    m, text, spans = None, "", []
                 rows.append((print_, m and m["name"], text, [{"start": s, "end": e} for s, e in spans]))
             yield b.assign(**dict(zip(("_fingerprint", "_layout", "_formatted", "_loss"), map(list, zip(*rows)) if rows else ([], [], [], []))))
 

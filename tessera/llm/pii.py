@@ -91,12 +91,12 @@ def terms(text: Column) -> Column:
 
 
 def disclosing_terms(docs: DataFrame, key: str, text: str, reach: int, least: int, generalise: float) -> DataFrame:
-    """(_id, _same, spans): the places of terms that reveal a protected entity, of documents that have any.
+    """(_id, _same, _told): the terms that reveal a protected entity of a document and the share they tell, array<struct<t,share>>, of documents that have any.
 
     An entity is a base match (kind and text in lower case), a context the `reach` code points on either side of a place of it. With N documents, n_e of them with the entity, n_t
     with the term and n_et with the term in a context of the entity, the term tells PMI = log2(N n_et / (n_e n_t)) of the entity's information IC = log2(N / n_e). A term
-    with PMI / IC >= `generalise` is returned with that share, if at least `least` documents and as many different contexts show it: a single
-    place says nothing about the corpus, and copies of one context are one. All counts are over all documents.
+    with PMI / IC >= `generalise` is told in all documents with the entity, if at least `least` documents and as many different contexts show it: a single
+    place says nothing about the corpus, and copies of one context are one. All counts are over all documents; rows of one id and text are one document in each of them.
     """
     source = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     found = source.withColumns({f"_{k}": v for k, v in base_spans(F.col("_text")).items()})
@@ -111,47 +111,64 @@ def disclosing_terms(docs: DataFrame, key: str, text: str, reach: int, least: in
     tail = F.filter(match_spans(F.col("_right"), TERM), lambda m: (m["end"] < F.length("_right")) | (F.col("_m.end") + F.lit(reach) >= F.col("_n")))
     moved = lambda spans, by: F.transform(spans, lambda m: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"), F.lower(m["value"]).alias("term")))
     near = F.concat(moved(head, F.col("_lo")), moved(tail, F.col("_m.end")))
-    near = F.filter(near, lambda t: ~F.exists(F.col("_all"), lambda m: (m["start"] < t["end"]) & (m["end"] > t["start"])))
+    near = F.array_distinct(F.transform(F.filter(near, lambda t: ~_hit(t, F.col("_all"))), lambda t: t["term"]))
     entity = F.concat(F.col("_m.kind"), F.lit(":"), F.lower(F.col("_m.value")))
     context = F.xxhash64("_left", "_right")
     places = staged(one.select("_id", "_same", entity.alias("e"), context.alias("c"), near.alias("near")), "places")
-    seen = places.select("_id", "_same", "e", "c", F.explode("near").alias("t")).select("_id", "_same", "e", "c", "t.start", "t.end", F.col("t.term").alias("t"))
+    seen = places.select("_id", "_same", "e", "c", F.explode("near").alias("t"))
     doc = F.struct("_id", "_same")
     # distinct documents and contexts by two levels of grouping, so that no hot pair needs a set in one task
     docs_et = seen.select("e", "t", doc.alias("d")).distinct().groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= least)
     shown = seen.select("e", "t", "c").distinct().groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_c")).filter(F.col("n_c") >= least)
     pairs = staged(docs_et.join(shown, ["e", "t"]), "pairs")
-    n_e = places.select("e", doc.alias("d")).distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
+    entities = places.select("_id", "_same", "e").distinct()
+    n_e = entities.groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
     wanted = pairs.select("t").distinct()
     small = wanted.count() <= _ROWS
-    words = source.select(F.explode(terms(F.col("_text"))).alias("t")).join(F.broadcast(wanted) if small else wanted, "t", "left_semi")
-    n_t = words.groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
-    total = float(source.count())
+    # a row that is there c times counts 1 / c, so that no text has to be sent to its copies
+    rows = staged(source.groupBy("_id", F.xxhash64("_text").alias("_same")).agg(F.count(F.lit(1)).alias("_c")), "rows")
+    total = float(rows.count())
+    again = rows.filter("_c > 1").withColumnsRenamed({"_id": "_again", "_same": "_as"})
+    repeats = again.count()
+    weighed = source.withColumn("_w", F.lit(1.0))
+    if repeats:
+        side = F.broadcast(again) if repeats <= _ROWS else again
+        weighed = source.withColumn("_h", F.xxhash64("_text")).join(side, F.col("_id").eqNullSafe(F.col("_again")) & (F.col("_h") == F.col("_as")), "left").withColumn("_w", F.coalesce(F.lit(1.0) / F.col("_c"), F.lit(1.0)))
+    words = weighed.select("_w", F.explode(terms(F.col("_text"))).alias("t")).join(F.broadcast(wanted) if small else wanted, "t", "left_semi")
+    n_t = words.groupBy("t").agg(F.round(F.sum("_w")).alias("n_t"))
     share = F.log2(F.lit(total) * F.col("n_et") / (F.col("n_e").cast("double") * F.col("n_t"))) / F.log2(F.lit(total) / F.col("n_e"))
     judged = pairs.join(n_e, "e").join(n_t, "t").filter(F.col("n_e") < F.lit(total)).withColumn("share", share).filter(F.col("share") >= generalise).select("e", "t", "share")
     judged = staged(judged, "judged")
     told = F.broadcast(judged) if judged.count() <= _ROWS else judged
-    hits = seen.join(told, ["e", "t"]).groupBy("_id", "_same", "start", "end").agg(F.max("share").alias("share"))
-    return hits.groupBy("_id", "_same").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("_terms"))
+    hits = entities.join(told, "e").groupBy("_id", "_same", "t").agg(F.max("share").alias("share"))
+    return hits.groupBy("_id", "_same").agg(F.sort_array(F.collect_list(F.struct("t", "share"))).alias("_told"))
+
+
+def _hit(m: Column, spans: Column) -> Column:
+    return F.exists(spans, lambda o: (o["start"] < m["end"]) & (o["end"] > m["start"]))
 
 
 def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 80, least: int = 2, generalise: float = 0.6, remove: float = 0.9) -> DataFrame:
     """docs with email, ip, card and phone (array<struct<start,end,value>>), terms (array<struct<start,end,share>>) and sanitised, the text with them taken out.
 
-    Base matches become their tag. Terms near them that tell a share >= `generalise` of an entity's information (see disclosing_terms) become [TERM], those
-    of a share >= `remove` go. Overlapping places are taken out once, as the first of them. Positions are code points, ends exclusive.
-    The places of terms join the texts by a broadcast while they are in at most 500,000 documents, else by a shuffle.
+    Base matches become their tag. Terms that tell a share >= `generalise` of the information of an entity of the document (see disclosing_terms; they are learned near its places)
+    become [TERM] wherever they stand in it, those of a share >= `remove` go. Overlapping places are taken out once, as the first of them. Positions are code points, ends exclusive.
+    The terms join the texts by a broadcast while they are of at most 500,000 documents, else by a shuffle.
     A null text is empty with no places (sanitised stays null); repeated rows get one result each; null ids are an id like others; an empty table gives no rows; an input column with one
     of the new names, or one of them after an underscore, is replaced.
     """
-    new = (*KINDS, "terms", "sanitised", "h", "id", "same")
+    new = (*KINDS, "terms", "sanitised", "h", "id", "same", "told")
     docs = docs.drop(*new[:6], *[f"_{n}" for n in new])
     shown = staged(disclosing_terms(docs, key, text, reach, least, generalise), "terms")
     side = F.broadcast(shown) if shown.count() <= _ROWS else shown
     same = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     out = docs.withColumns({f"_{k}": v for k, v in base_spans(F.col(text)).items()}).withColumn("_h", same)
     out = out.join(side, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_same")), "left").drop("_id", "_same", "_h")
-    out = out.withColumn("_terms", F.coalesce("_terms", F.array().cast("array<struct<start:int,end:int,share:double>>")))
+    none = F.array().cast("array<struct<start:int,end:int,share:double>>")
+    share = lambda v: F.get(F.filter(F.col("_told"), lambda x: x["t"] == F.lower(v)), F.lit(0))["share"]
+    placed = F.transform(match_spans(F.coalesce(F.col(text), F.lit("")), TERM), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), share(m["value"]).alias("share")))
+    placed = F.filter(placed, lambda m: m["share"].isNotNull() & ~F.exists(F.array(*[F.col(f"_{k}") for k in KINDS]), lambda spans: _hit(m, spans)))
+    out = out.withColumn("_terms", F.when(F.col("_told").isNotNull(), placed).otherwise(none)).drop("_told")
     tagged = [_marked(F.col(f"_{k}"), TAGS[k], "tag") for k in KINDS]
     words = F.transform(F.col("_terms"), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.when(m["share"] >= remove, F.lit("")).otherwise(F.lit(TAGS["term"])).alias("tag")))
     spans = F.array_sort(F.concat(*tagged, words))
