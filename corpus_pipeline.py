@@ -10,16 +10,21 @@ from pyspark.sql import functions as F
 from tessera.llm import decontaminate, language, mixing, near_dup, sharding
 from tessera.llm.common import staged
 
-#: Two languages whose costs differ by less than this share don't tell a text's language.
+#: Two languages whose costs differ by less than this share don't tell a text's language, if the text has at least so many characters; a shorter one says too little to reject it.
 LEAST_SCORE = 0.02
+LEAST_CHARS = 100
 SHARDS = 24
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters and those whose language the parse can't tell; labels are only learned from outside the held-out fold."""
+    """Rejects documents without letters (null and empty texts are such) and longer ones whose language the parse can't tell; labels are only learned from outside the held-out fold.
+
+    Repeated rows have one fate; without labels every document is rejected; an empty table stays empty.
+    """
     model = language.fit(docs, train=~language.held_out(F.col("doc_id")))
     told = language.identify(docs.withColumn("_copy", F.col("text")), model, text="_copy")
-    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    sure = (F.col("score") >= LEAST_SCORE) | (F.length("text") < LEAST_CHARS)
+    return told.filter((F.col("lang_pred") != "und") & sure).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,17 +48,17 @@ def _small(ids: DataFrame) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item; null and empty texts hold none, rows that share an id go together, an empty table of either kind drops nothing."""
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every source at the same weight, as many documents in all as come in."""
+    """Every source (null is one) at the same weight, as many documents in all as come in; repeated rows and null texts are documents like others; an empty table stays empty."""
     return mixing.mix_sources(docs).select(*docs.columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the shard and the slot in it."""
+    """Adds the shard and the slot in it; null ids count as 0, repeated rows get slots of their own, an empty table stays empty."""
     out = sharding.shard_documents(docs, SHARDS, grown=False)
     return out.select(*docs.columns, F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
 
@@ -80,7 +85,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sharding", _apart(shards)),
 ]
 
-#: The language model and ProbMinHash have no SQL form; tests/llm compares each stage with a brute-force version.
+#: The language model and ProbMinHash have no SQL form; a test compares the rows of each stage with a brute-force version.
 ORACLE_SQL: str | None = None
 
 
