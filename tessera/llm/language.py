@@ -153,8 +153,8 @@ def _points(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def cross_parse(model: Model, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Phrases of each text in each language (texts x languages), its normalised length, and whether it has letters.
 
-    All texts advance together, a symbol at a time: a text is laid out in spans of SPAN symbols, each parsed from the root,
-    which adds at most one phrase a span, the same for every language.
+    All texts advance together, a symbol at a time: a text is laid out in spans of SPAN symbols. Each is parsed from the root, then from the state in which the span before it ends,
+    until both parses begin a phrase at the same place, from which on they are one: the phrases are those of one parse of the whole text.
     """
     points, at = _points(raw, off)
     has = np.diff(np.concatenate([[0], np.cumsum(model.letters[points])])[at]) > 0
@@ -176,21 +176,60 @@ def cross_parse(model: Model, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndar
     steps = np.ascontiguousarray(grid.reshape(-1, SPAN)[order].T)
     going = len(size) - np.searchsorted(np.sort(size), np.arange(SPAN), "right")
     count = np.zeros((len(model.langs), base[-1]), np.int32)
+    size = size[order]
+    # in the order of the spans: which goes on from which
+    place = np.empty(base[-1], np.int64)
+    place[order] = np.arange(base[-1])
+    later = np.setdiff1d(np.arange(base[-1]), base[:-1])
+    after = np.full(base[-1], -1)
+    after[place[later - 1]] = place[later]
     for lang, root in enumerate(model.roots):
-        state, new = np.full(base[-1], root), np.zeros(base[-1], np.int32)
-        for row, m in zip(steps, going):
+        state, begins = np.full(base[-1], root), np.zeros(steps.shape, bool)
+        for t, m in enumerate(going):
             if not m:
                 break
-            now, row = state[:m], row[:m]
+            now, row = state[:m], steps[t, :m]
             to = model.slots[now + row]
             on = to >> 32 == now
-            new[:m] += ~on
+            begins[t, :m] = ~on
             state[:m] = np.where(on, to & 0xFFFFFFFF, model.first[lang][row])
-        count[lang, order] = new
+        count[lang, order] = begins.sum(0) + _carried(model, lang, steps, begins, size, state, after)
     total = np.concatenate([np.zeros((len(model.langs), 1), np.int64), np.cumsum(count, 1)], 1)
     return (total[:, base[1:]] - total[:, base[:-1]]).T, n, has
 
 
+def _carried(model: Model, lang: int, steps: np.ndarray, begins: np.ndarray, size: np.ndarray, alone: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The phrases that each span has more than when it is parsed from the root, if it goes on from the state in which the span before it ends.
+
+    begins: where the parses from the root begin phrases; alone: the states in which they end; after: the span that follows each, or -1. A span whose end changes has the next one parsed again.
+    """
+    more, end = np.zeros(len(size), np.int64), alone.copy()
+    before = np.flatnonzero(after >= 0)
+    while len(before):
+        todo = after[before]
+        at, state, d = todo, end[before], np.zeros(len(todo), np.int64)
+        moved = []
+        for t in range(len(steps)):
+            row = steps[t, at]
+            to = model.slots[state + row]
+            on = to >> 32 == state
+            met = ~on & begins[t, at]
+            d = d + ~on - begins[t, at]
+            state = np.where(on, to & 0xFFFFFFFF, model.first[lang][row])
+            over = met | (size[at] == t + 1)
+            if over.any():
+                done, now = at[over], np.where(met, alone[at], state)[over]
+                more[done] = d[over]
+                moved.append(done[end[done] != now])
+                end[done] = now
+                at, state, d = at[~over], state[~over], d[~over]
+                if not len(at):
+                    break
+        changed = np.concatenate(moved)
+        before = changed[after[changed] >= 0]
+    return more
+
+
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", train: Column | None = None, ref_chars: int = 20_000, excerpt: int = 400, most_langs: int = 200) -> Model:
     """The model of the labelled rows under `train`.
 
