@@ -29,29 +29,38 @@ def _shingles(words: Column, k: Column) -> Column:
     return F.when(F.size(words) >= k, F.array_distinct(F.transform(runs, lambda i: F.array_join(F.slice(words, i, k), " ")))).otherwise(F.array().cast("array<string>"))
 
 
-def sketch_size(threshold: float, miss: float = 1e-9) -> int:
-    """Signature positions after which an item of containment >= threshold is missed with at most this probability."""
-    return 1 if threshold >= 1 else max(1, math.ceil(math.log(miss) / math.log(1 - threshold)))
+#: Positions of a signature. Items of fewer shingles are looked up whole.
+POSITIONS = 32
 
 
-def item_sketches(items: DataFrame, item_id: str, text: str, width: int, threshold: float) -> DataFrame:
-    """(item, k, n, least, s): the MinHash signature of each item as the shingle that attains each minimum.
+def least_hits(positions: int, threshold: float, miss: float = 1e-9) -> int:
+    """The most agreeing positions that an item of containment >= threshold still has, missed with at most this probability: a quantile of the binomial distribution."""
+    below, k = 0.0, 0
+    while k < positions:
+        below += math.comb(positions, k) * threshold**k * (1 - threshold) ** (positions - k)
+        if below > miss:
+            break
+        k += 1
+    return max(1, k)
 
-    Items are partitioned by the power of two of their shingle count. In each partition the count of
-    hash functions follows from the threshold, and `least` is the fewest shingles that a document must have
-    to reach it: what an ensemble of containment indexes does with the sizes, seen from the short side. As a
-    short item's minima are looked up in a document's whole shingle set, the length of a document costs no recall.
+
+def item_sketches(items: DataFrame, item_id: str, text: str, width: int, threshold: float, positions: int = POSITIONS) -> DataFrame:
+    """(item, k, n, part, least, need, s, weight): the MinHash signature of each item as the shingles that attain its minima, and at how many positions each does.
+
+    Items are partitioned by the power of two of their shingle count. A partition sets what a document must show, as an ensemble of containment indexes does, seen
+    from the short side: in partitions that the signature can hold whole, all shingles are looked up and `need` = ceil(threshold n) of them make a candidate; above, the minima
+    of `positions` hash functions are, each of which a document of containment c has with probability c, and `need` follows from the binomial distribution. `least` is the fewest shingles that a document
+    must have to reach the threshold. As minima are looked up in a document's whole shingle set, the length of a document costs no recall, and one shingle that many documents share makes no candidate.
     """
-    m = sketch_size(threshold)
     one = items.select(F.col(item_id).alias("item"), words_of(F.col(text)).alias("w")).filter(F.size("w") > 0)
     one = one.withColumn("k", _width(F.size("w"), width))
     hashed = one.withColumn("h", F.array_distinct(F.coalesce(*[F.when(F.col("k") == k, _hashes(F.col("w"), k)) for k in range(1, width + 1)])))
     sized = hashed.select("item", "k", "h", F.size("h").alias("n")).withColumn("part", F.floor(F.log2(F.col("n").cast("double"))).cast("int"))
-    positions = F.least(F.lit(m), F.pow(F.lit(2.0), (F.col("part") + 1).cast("double")).cast("int"))
-    minima = F.transform(F.sequence(F.lit(1), positions), lambda j: F.array_min(F.transform(F.col("h"), lambda s: F.struct(F.xxhash64(j, s).alias("v"), s.alias("s"))))["s"])
-    # an item no larger than its signature is looked up whole: its minima could leave out the shingles that are there
-    chosen = F.when(F.col("n") <= m, F.col("h")).otherwise(F.array_distinct(minima))
-    return sized.select("item", "k", "part", "n", F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)).cast("int").alias("least"), F.explode(chosen).alias("s"))
+    whole = F.pow(F.lit(2.0), (F.col("part") + 1).cast("double")) <= F.lit(float(positions))
+    minima = F.transform(F.sequence(F.lit(1), F.lit(positions)), lambda j: F.array_min(F.transform(F.col("h"), lambda s: F.struct(F.xxhash64(j, s).alias("v"), s.alias("s"))))["s"])
+    least = F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)).cast("int")
+    out = sized.select("item", "k", "part", "n", least.alias("least"), F.when(whole, least).otherwise(F.lit(least_hits(positions, threshold))).alias("need"), F.explode(F.when(whole, F.col("h")).otherwise(minima)).alias("s"))
+    return out.groupBy("item", "k", "part", "n", "least", "need", "s").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def find_leaks(
@@ -60,7 +69,7 @@ def find_leaks(
     """(doc_id, item_id, n_shared, n_item, containment): every document and item of which the document holds at least `threshold` of the distinct word shingles.
 
     1. Sketch: see item_sketches. 2. Candidates: every shingle of every document is looked up among the
-    minima; a hit of a document with enough shingles makes a candidate. 3. Verification: the shingles
+    minima; a document that shows as many of them as the item's partition asks for is a candidate. 3. Verification: the shingles
     of the candidate documents and items are compared as strings.
     The minima and the candidates' ids are broadcast while they have at most BROADCAST_ROWS rows, and
     joined by a shuffle beyond. An item of fewer than five words is one shingle of all its words. Null and empty texts hold
@@ -76,10 +85,12 @@ def find_leaks(
         return empty
     hashes = F.concat(*[_hashes(F.col("w"), k) for k in widths]) if len(widths) > 1 else _hashes(F.col("w"), widths[0])
     probes = base.select("doc_id", F.size("w").alias("nw"), F.explode(hashes).alias("s"))
-    minima = sketch.select(F.col("item").alias("item_id"), "least", "s")
+    minima = sketch.select(F.col("item").alias("item_id"), "least", "need", "s", "weight")
     near = minima if sketch.count() > BROADCAST_ROWS else F.broadcast(minima)
     hits = probes.join(near, "s").filter(F.col("nw") >= F.col("least"))
-    found = staged(hits.groupBy("doc_id", "item_id").agg(F.lit(1).alias("one")).select("doc_id", "item_id"), "candidates")
+    # a shingle counts once a document, however often it is there
+    shown = hits.groupBy("doc_id", "item_id", "s").agg(F.max("weight").alias("weight"), F.max("need").alias("need"))
+    found = staged(shown.groupBy("doc_id", "item_id").agg(F.sum("weight").alias("hits"), F.min("need").alias("need")).filter(F.col("hits") >= F.col("need")).select("doc_id", "item_id"), "candidates")
     few = found.count() <= BROADCAST_ROWS
     ids = found.select(F.col("doc_id").alias("_id"), F.col("item_id").alias("_item"))
     pairs = base.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_id")))
