@@ -25,12 +25,35 @@ def _doubled(rank: np.ndarray, left: np.ndarray, length: int) -> np.ndarray:
 
 
 def _eight(raw: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on as a big-endian number, whose order is the order of the strings; zeros follow the end."""
-    wide = np.concatenate([raw, np.zeros(8, np.uint8)]).astype(np.uint64)
-    out = np.zeros(len(raw), np.uint64)
-    for j in range(8):
-        out |= wide[j : j + len(raw)] << np.uint64(56 - 8 * j)
-    return out
+    """The eight bytes from each place on as a big-endian number, whose order is the order of the strings, read where it is indexed; zeros follow the end."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray(len(raw) + 1, ">u8", padded.data, strides=(1,))
+
+
+def _ranks(eight: np.ndarray, at: np.ndarray, left: np.ndarray, depth: int | None, most: int = 16) -> np.ndarray | None:
+    """Ranks of strings that begin at the given places and are `left` bytes long, eight more bytes at a time for those still alike, by `depth` bytes at least; None if that takes over `most` steps a string and 10^5."""
+    rank, tied, k, work = np.zeros(len(at), np.int64), np.arange(len(at)), -8, 0
+    while len(tied) and (depth is None or k + 8 < depth):
+        k, work = k + 8, work + len(tied) + 100
+        if work > most * len(at) + 100_000:
+            return None
+        take = np.clip(left[tied] - k, 0, 8).astype(np.uint64)
+        value = np.zeros(len(tied), np.uint64)
+        some = np.flatnonzero(take)
+        value[some] = (eight[at[tied[some]] + k].astype(np.uint64) >> (np.uint64(64) - np.uint64(8) * take[some])) << (np.uint64(64) - np.uint64(8) * take[some])
+        order = np.lexsort((take, value, rank[tied]) if k else (take, value))
+        r, v, t = rank[tied][order], value[order], take[order]
+        group = np.ones(len(order), bool)
+        group[1:] = r[1:] != r[:-1]
+        new = group.copy()
+        new[1:] |= (v[1:] != v[:-1]) | (t[1:] != t[:-1])
+        head = np.flatnonzero(new)
+        size = np.diff([*head, len(order)])
+        start = np.maximum.accumulate(np.where(group, np.arange(len(order)), 0))
+        rank[tied[order]] = r + np.repeat(head - start[head], size)
+        longer = np.add.reduceat((left[tied[order]] > k + 8).astype(np.int64), head)
+        tied = tied[order][np.repeat((size > 1) & (longer > 0), size)]
+    return rank
 
 
 def parse(raw: np.ndarray, window: int = 8, modulus: int = 24) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -40,7 +63,7 @@ def parse(raw: np.ndarray, window: int = 8, modulus: int = 24) -> tuple[np.ndarr
     bytes; the text is followed by `window` zero bytes, which end the last phrase.
     """
     text = np.concatenate([raw, np.zeros(window, np.uint8)])
-    hashed = mix((_eight(text)[: len(raw)] >> np.uint64(64 - 8 * window)) + np.uint64(1))
+    hashed = mix((_eight(text)[: len(raw)].astype(np.uint64) >> np.uint64(64 - 8 * window)) + np.uint64(1))
     start = np.unique(np.concatenate([[0], np.flatnonzero(hashed % np.uint64(modulus) == 0)])).astype(np.int64)
     stop = np.concatenate([start[1:], [len(raw)]]) + window
     whole, numbers = text.tobytes(), {}
@@ -48,39 +71,47 @@ def parse(raw: np.ndarray, window: int = 8, modulus: int = 24) -> tuple[np.ndarr
     return start, number, list(numbers)
 
 
-def corpus_order(raw: np.ndarray, at: np.ndarray, window: int = 8, modulus: int = 24) -> np.ndarray:
+def corpus_order(raw: np.ndarray, at: np.ndarray, window: int = 8, modulus: int = 24, depth: int | None = None) -> np.ndarray:
     """The order of the suffixes of a text that begin at the given places, from the suffix arrays of its dictionary and of its parse.
 
     A suffix begins with a proper suffix, longer than a trigger, of its phrase; by the order of those among all suffixes of the dictionary, none of which is a prefix of another,
-    and where they are equal by the order of the rest of the parse, the suffixes of the text are in lexicographic order.
+    and where they are equal by the order of the rest of the parse, the suffixes of the text are in lexicographic order. Given a depth, suffixes that agree in so many bytes stand together in any order.
     """
     if not len(at):
         return np.zeros(0, np.int64)
     start, number, dictionary = parse(raw, window, modulus)
     size = np.array([len(x) for x in dictionary])
     begin = np.concatenate([[0], np.cumsum(size)])
-    left = np.repeat(begin[1:], size) - np.arange(begin[-1])
-    eight = _eight(np.frombuffer(b"".join(dictionary), np.uint8))
-    short = np.minimum(left, 8).astype(np.uint64)
-    eight &= np.uint64(0xFFFFFFFFFFFFFFFF) << (np.uint64(64) - short * np.uint64(8))
-    order = np.lexsort((short, eight))
-    new = np.zeros(len(order), np.int64)
-    new[1:] = (eight[order][1:] != eight[order][:-1]) | (short[order][1:] != short[order][:-1])
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(new)
-    in_dictionary = _doubled(rank, left, 8)
-    first = in_dictionary[begin[:-1]][number]
-    in_parse = np.concatenate([_doubled(np.unique(first, return_inverse=True)[1], np.arange(len(first), 0, -1), 1), [-1]])
+    first = np.empty(len(dictionary), np.int64)
+    first[sorted(range(len(dictionary)), key=dictionary.__getitem__)] = np.arange(len(dictionary))
+    in_parse = np.concatenate([_doubled(np.unique(first[number], return_inverse=True)[1], np.arange(len(number), 0, -1), 1), [-1]])
     phrase = np.searchsorted(start, at, "right") - 1
-    return np.lexsort((in_parse[phrase + 1], in_dictionary[begin[number[phrase]] + at - start[phrase]]))
+    wanted = begin[number[phrase]] + at - start[phrase]
+    seen = np.zeros(begin[-1], bool)
+    seen[wanted] = True
+    places = np.flatnonzero(seen)
+    eight = _eight(np.frombuffer(b"".join(dictionary), np.uint8))
+    rank = _ranks(eight, places, begin[np.searchsorted(begin, places, "right")] - places, depth)
+    if rank is None:
+        # long strings without a trigger: all suffixes of the dictionary, by doubling
+        left = np.repeat(begin[1:], size) - np.arange(begin[-1])
+        short = np.minimum(left, 8).astype(np.uint64)
+        value = (eight[: begin[-1]].astype(np.uint64) >> (np.uint64(64) - short * np.uint64(8))) << (np.uint64(64) - short * np.uint64(8))
+        order = np.lexsort((short, value))
+        new = np.zeros(len(order), np.int64)
+        new[1:] = (value[order][1:] != value[order][:-1]) | (short[order][1:] != short[order][:-1])
+        every = np.empty(len(order), np.int64)
+        every[order] = np.cumsum(new)
+        rank = _doubled(every, left, 8)[places]
+    return np.lexsort((in_parse[phrase + 1], rank[np.cumsum(seen)[wanted] - 1]))
 
 
 def _index(s: Slice, at: np.ndarray) -> np.ndarray:
     """The class of equal strings of n bytes of each start: they are neighbours in corpus order, and are compared byte by byte."""
-    n, order, eight = s.plan.n, corpus_order(s.raw, at), _eight(s.raw)
+    n, order, eight = s.plan.n, corpus_order(s.raw, at, depth=s.plan.n), _eight(s.raw)
     new = np.zeros(len(order), bool)
     for j, bits in [*((j, 64) for j in range(0, n - 7, 8)), *([(n - n % 8, 8 * (n % 8))] if n % 8 else [])]:
-        column = eight[at[order] + j] >> np.uint64(64 - bits)
+        column = eight[at[order] + j].astype(np.uint64) >> np.uint64(64 - bits)
         new[1:] |= column[1:] != column[:-1]
     cls = np.empty(len(order), np.int64)
     cls[order] = np.cumsum(new)
