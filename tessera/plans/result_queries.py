@@ -8,18 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import Config, from_dict
-from tessera.operators import decompose, evidence, kernels, quality, readings, share
+from tessera.operators import counted, decompose, evidence, kernels, quality, readings
 from tessera.plans import run
 from tessera.plans.adapters import docs_obs, items_mic, orders_obs, table
 from tessera.plans.catalogue import BY, register, rounded
 from tessera.streaming import sequential as stream
 
 
-def configured(name: str, levels: tuple[str, str], draws: int = 99, perms: int = 19, repeats: int = 3) -> Config:
+def configured(name: str, levels: tuple[str, str]) -> Config:
+    """Default budgets: 20 repeats, 999 draws, 999 permutations."""
     return from_dict(
         {
             "dataset": {"name": name, "metadata": "-", "group_column": "grp", "calls": "-", "batch_column": "batch", "contrast_column": "side", "contrast_levels": list(levels)},
-            "share": {"repeats": repeats, "draws": draws, "perms": perms}, "contrast": {"draws": draws}, "evidence": {"repeats": repeats},
         }
     )
 
@@ -31,32 +31,43 @@ def result_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("result_rows_orders")
 def result_rows_orders(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(run.results(orders_obs(spark, sf).withColumn("level", F.lit("all")), configured("orders", ("early", "late"), 49, 9, 2), intervals=False, bounds=False))
+    return rounded(run.results(orders_obs(spark, sf).withColumn("level", F.lit("all")), configured("orders", ("early", "late"))))
 
 
 @register("result_rows_by_level")
 def result_rows_by_level(spark: SparkSession, sf: str) -> DataFrame:
     """Everything again per language: the level is one more key."""
     obs = docs_obs(spark, sf).withColumn("level", F.explode(F.array(F.lit("all"), F.col("stratum"))))
-    return rounded(run.results(obs, configured("docs", ("en", "rest"), 19, 9, 2), intervals=False))
+    return rounded(run.results(obs, configured("docs", ("en", "rest"))))
 
 
 @register("status_summary")
 def status_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return run.status_summary(run.results(docs_obs(spark, sf).withColumn("level", F.lit("all")), configured("docs", ("en", "rest"), 19, 9, 2), intervals=False))
+    return run.status_summary(run.results(docs_obs(spark, sf).withColumn("level", F.lit("all")), configured("docs", ("en", "rest"))))
 
 
 @register("offsetting_features")
 def offsetting_features(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(run.offsetting(run.results(orders_obs(spark, sf).withColumn("level", F.lit("all")), configured("orders", ("early", "late"), 9, 9, 2), intervals=False, bounds=False)))
+    return rounded(run.offsetting(run.results(orders_obs(spark, sf).withColumn("level", F.lit("all")), configured("orders", ("early", "late")))))
+
+
+@register("share_counted_orders")
+def share_counted_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """The share and its test on orders at default budgets."""
+    return rounded(counted.share(quality.repeated(orders_obs(spark, sf), BY), BY))
+
+
+@register("boot_counted_orders")
+def boot_counted_orders(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(decompose.interval(counted.bootstrap(quality.usable(orders_obs(spark, sf)), BY, "early", "late", 2000), BY, "composition"))
 
 
 @register("share_full")
 def share_full(spark: SparkSession, sf: str) -> DataFrame:
     rep = quality.repeated(docs_obs(spark, sf), BY)
-    sh = share.share(rep, BY, 5, 5, 19)
+    sh = counted.share(rep, BY)
     cells = rep.groupBy("feature", "grp", F.lit("all").alias("stratum"), "y").agg(F.count(F.lit(1)).alias("n"))
-    return rounded(sh.join(kernels.share_intervals(cells, sh, BY, 5, 199, 49), BY))
+    return rounded(sh.join(kernels.share_intervals(cells, sh, BY, 20, 999, 999), BY))
 
 
 @register("order_share_full")
@@ -65,7 +76,7 @@ def order_share_full(spark: SparkSession, sf: str) -> DataFrame:
     r = readings.intervals(items_mic(spark, sf, True), ["feature"])
     sc = kernels.npmle_scores(readings.cells(r, by), by)
     scored = r.join(F.broadcast(sc.select(*by, "lo", "hi", "score")), [*by, "lo", "hi"]).withColumn("y", F.col("score"))
-    return rounded(share.share(quality.repeated(scored, BY), BY, 5, 2, 3, ["stratum"]))
+    return rounded(counted.share(quality.repeated(scored, BY), BY, within=["stratum"]))
 
 
 @register("npmle_scores")
@@ -78,13 +89,13 @@ def npmle_scores(spark: SparkSession, sf: str) -> DataFrame:
 def latent_bounds(spark: SparkSession, sf: str) -> DataFrame:
     by = ["feature", "stratum"]
     r = readings.intervals(items_mic(spark, sf, True).withColumn("grp", F.col("grp2")), ["feature"])
-    return rounded(kernels.latent_bounds(readings.counts(r, readings.cells(r, by), by), BY, 10))
+    return rounded(kernels.latent_bounds(readings.counts(r, readings.cells(r, by), by), BY))
 
 
 @register("call_bounds")
 def call_bounds(spark: SparkSession, sf: str) -> DataFrame:
     c = quality.usable(docs_obs(spark, sf)).groupBy("feature", F.lit("all").alias("stratum"), "grp", F.col("y").cast("int").alias("run")).agg(F.count(F.lit(1)).alias("n"))
-    return rounded(kernels.latent_bounds(c, BY, 10))
+    return rounded(kernels.latent_bounds(c, BY))
 
 
 @register("fisher_exact")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import Config, load
 from tessera.functions.stats import e_bh, step_up
-from tessera.operators import decompose, evidence, kernels, quality, readings, share
+from tessera.operators import counted, decompose, evidence, kernels, quality, readings
 from tessera.operators.staging import settled
 from tessera.sources import sinks, tables
 
@@ -52,9 +52,12 @@ def call_rows(obs: DataFrame, cfg: Config, intervals: bool = True, bounds: bool
     if s.enabled:
         strata = ["stratum"] if cfg.dataset.stratum_column else []
         base = quality.centred(rep, KEYS) if strata else rep
-        sh = settled(share.share(base, KEYS, s.folds, s.repeats, s.perms, strata))
-        test = share.permutation_test(base, KEYS, s.perms, [*strata, *(["unit"] if cfg.dataset.cluster_column else [])]).select(*KEYS, "p")
-        j = feas.join(sh, KEYS, "left").join(test, KEYS, "left")
+        sh = settled(counted.share(base, KEYS, s.folds, s.repeats, s.perms, strata))
+        if cfg.dataset.cluster_column:
+            # the test keeps records of one unit together in their stratum, the null mean only the stratum
+            own = counted.share(base, KEYS, s.folds, 0, s.perms, [*strata, "unit"]).select(*KEYS, "p")
+            sh = settled(sh.drop("p").join(own, KEYS))
+        j = feas.join(sh, KEYS, "left")
         if intervals:
             cells = rep.groupBy(*KEYS, "grp", "stratum", "y").agg(F.count(F.lit(1)).alias("n"))
             j = j.join(kernels.share_intervals(cells, sh, KEYS, s.repeats, s.draws, s.perms), KEYS, "left")
@@ -79,7 +82,7 @@ def call_rows(obs: DataFrame, cfg: Config, intervals: bool = True, bounds: bool
     if cfg.contrast.enabled and cfg.dataset.contrast_levels:
         a, b = cfg.dataset.contrast_levels
         k = decompose.kitagawa(use, KEYS, a, b)
-        draws = settled(decompose.bootstrap(use, KEYS, a, b, cfg.contrast.draws, "unit" if cfg.dataset.cluster_column else None))
+        draws = settled(decompose.bootstrap(use, KEYS, a, b, cfg.contrast.draws, "unit") if cfg.dataset.cluster_column else counted.bootstrap(use, KEYS, a, b, cfg.contrast.draws))
         k = settled(k)
         for part in ("composition", "within"):
             i = decompose.interval(draws, KEYS, part).join(k.select(*KEYS, part, "admitted", "shared_support", "n_a", "n_b"), KEYS)
@@ -96,8 +99,8 @@ def reading_rows(r: DataFrame, cfg: Config) -> list[DataFrame]:
     cells = settled(readings.cells(r, by))
     scored = r.join(kernels.npmle_scores(cells, by).select(*by, "lo", "hi", "score"), [*by, "lo", "hi"]).withColumn("y", F.col("score"))
     rep = settled(quality.repeated(scored, KEYS))
-    sh = share.share(rep, KEYS, cfg.share.folds, cfg.share.repeats, cfg.share.perms, ["stratum"])
-    p = step_up(sh.join(share.permutation_test(rep, KEYS, cfg.share.perms, ["stratum"]).select(*KEYS, "p"), KEYS), "p", ["level"], True, cfg.contrast.q)
+    sh = settled(counted.share(rep, KEYS, cfg.share.folds, cfg.share.repeats, cfg.share.perms, ["stratum"]))
+    p = step_up(sh, "p", ["level"], True, cfg.contrast.q)
     counts = readings.counts(quality.usable(known), cells, by)
     b = settled(kernels.latent_bounds(counts.select(*by, "grp", F.col("run").cast("int").alias("run"), "n"), KEYS))
     return [
