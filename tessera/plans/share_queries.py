@@ -56,7 +56,8 @@ def share_sql(obs: str, by: str, k: int, repeats: int, perms: int) -> str:
 SHARE_COLUMNS = ", ".join(r6(c, n) for c, n in (("kappa", "kappa"), ("cv_sd", "cv_sd"), ("null_mean", "null_mean"), ("kappa_adj", "kappa_adj"), ("ratio", "fold_ratio"), ("closed", "closed"), ("closed_adj", "closed_adj")))
 
 for _tag, _obs, _sql in (("docs", docs_obs, DOCS_OBS), ("orders", orders_obs, ORDERS_OBS)):
-    _r, _p = (6, 9) if _tag == "docs" else (2, 3)
+    # at default budgets where DuckDB can repeat them row by row; orders in full are in share_counted_orders and result_rows_orders
+    _r, _p = (20, 999) if _tag == "docs" else (2, 3)
     _rep = lambda spark, sf, obs=_obs: quality.repeated(obs(spark, sf), BY)
     _rs = f"{_sql}, {USABLE}"
     register(f"cv_skill_{_tag}", f"WITH {_rs}, r1 AS (SELECT feature, rep, id, grp, y FROM repeated, {reps(_r)}), {folds_sql('r1', 'f1', 'feature', 5)}, {skill_sql('f1', 'k1', 'feature')} SELECT feature, {r6('avg(skill)', 'kappa')}, {r6('stddev_pop(skill)', 'cv_sd')}, {r6('avg(denominator)', 'denominator')} FROM k1 GROUP BY 1")(
@@ -140,7 +141,7 @@ for _tag, _obs, _sql in (("docs", docs_obs, DOCS_OBS), ("orders", orders_obs, OR
         + " FROM obs GROUP BY 1",
     )(lambda spark, sf, obs=_obs, a=_a, b=_b: decompose.label_coverage(obs(spark, sf), BY, a, b))
     for _unit in ("id", "unit"):
-        _nb = _r * 3 if _tag == "docs" else 3
+        _nb = 999 if _tag == "docs" else 3
         _bsql = f"""{_rs}, o AS (SELECT * FROM usable WHERE side IN ('{_a}', '{_b}')), base AS (SELECT DISTINCT feature, side, {_unit} AS who FROM o),
         rk AS (SELECT *, row_number() OVER (PARTITION BY feature, side ORDER BY who) AS k, count(*) OVER (PARTITION BY feature, side) AS n FROM base),
         dr AS (SELECT feature, side, rep, (floor({U.format("'boot|' || rep || '|' || feature || '|' || side || '|' || k::VARCHAR")} * n) + 1)::BIGINT AS k FROM rk, {reps(_nb)}), tm AS (SELECT feature, side, rep, k, count(*) AS times FROM dr GROUP BY ALL),
