@@ -1,4 +1,4 @@
-"""python -m tessera run|check|init|version: exit code 0, or 2 with what is wrong."""
+"""python -m tessera run|check|compare|init|version: exit code 0, or 2 with what is wrong."""
 
 from __future__ import annotations
 
@@ -19,35 +19,38 @@ def main(args: list[str] | None = None) -> int:
     s.add_argument("--metadata", required=True)
     s.add_argument("--calls")
     s.add_argument("--readings")
+    s = sub.add_parser("compare")
+    for name in ("input", "id-column", "outcome", "label-a", "label-b"):
+        s.add_argument(f"--{name}", required=True)
+    s.add_argument("--out")
+    for name, value in (("folds", 5), ("repeats", 20), ("permutations", 999), ("draws", 999)):
+        s.add_argument(f"--{name}", type=int, default=value)
     sub.add_parser("version")
     a = p.parse_args(args)
     if a.what == "version":
-        print("tessera 0.1.0")
+        from tessera.plans.run import VERSION
+
+        print(f"tessera {VERSION}")
         return 0
     from pyspark.sql import SparkSession
 
     from tessera.config import ConfigError, load
     from tessera.draft import draft
-    from tessera.operators import ingest, quality
+    from tessera.operators import ingest
     from tessera.plans import run
-    from tessera.sources import tables
 
     spark = SparkSession.builder.appName("tessera").getOrCreate()
     try:
         if a.what == "init":
             print(draft(spark, a.metadata, a.calls, a.readings))
             return 0
+        if a.what == "compare":
+            _, contrasts = run.compare_labelings(spark, a.input, a.id_column, a.outcome, a.label_a, a.label_b, a.out, a.folds, a.repeats, a.permutations, a.draws)
+            contrasts.show(truncate=False)
+            return 0
         cfg = load(a.config)
         if a.what == "check":
-            if cfg.dataset.calls:
-                obs = tables.observations(spark, cfg)
-                found = [r.asDict() for r in quality.feasibility(obs, ["feature"]).orderBy("feature").collect()]
-                report = ingest.join_report(tables.calls(spark, cfg), tables.members(spark, cfg)).first().asDict()
-            else:
-                d = tables.dilutions(spark, cfg)
-                found = [r.asDict() for r in d.groupBy("feature").count().orderBy("feature").collect()]
-                report = ingest.join_report(d, tables.members(spark, cfg)).first().asDict()
-            print(json.dumps({"features": found, "join": report}, ensure_ascii=False, indent=1, default=float))
+            print(json.dumps(run.check(spark, cfg, a.out), ensure_ascii=False, indent=1, default=float))
             return 0
         df = run.run(spark, cfg, a.out)
         if a.json:

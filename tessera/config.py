@@ -46,6 +46,7 @@ class Dataset:
     panel_column: str | None = None
     covariate_columns: tuple[str, ...] = ()
     wells: dict[str, list[float]] = field(default_factory=dict)
+    well_ranges: dict[str, list[float]] = field(default_factory=dict)
     contrast_column: str | None = None
     contrast_levels: tuple[str, ...] = ()
     batch_column: str | None = None
@@ -160,6 +161,9 @@ def from_dict(given: dict[str, Any]) -> Config:
     for name, w in d.wells.items():
         if not w or any(not isinstance(x, (int, float)) or x <= 0 for x in w) or any(b <= a for a, b in zip(w, w[1:])):
             raise ConfigError(f"the wells of {name} must be positive and increasing")
+    for name, r in d.well_ranges.items():
+        if len(r) != 2 or any(not isinstance(x, (int, float)) for x in r) or not 0 < r[0] < r[1]:
+            raise ConfigError(f"the range of wells of {name} must be its first and last, positive and increasing")
     if cfg.share.folds < 2 or cfg.evidence.folds < 2:
         raise ConfigError("at least two folds are required")
     if not 0 < cfg.contrast.q < 1 or not 0 < cfg.evidence.alpha < 1:

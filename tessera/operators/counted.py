@@ -107,7 +107,7 @@ def _between(tables: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(m > 0, s * s / np.maximum(m, 1), 0.0).sum(-1)
 
 
-def _replicates(cells: DataFrame, by: list[str], kinds: list[tuple[str, int]], schema: str, run: Any) -> DataFrame:
+def _replicates(cells: DataFrame, by: list[str], kinds: list[tuple[str, int]], schema: str, run: Any, seed: str | None = None) -> DataFrame:
     """run(key, kind, block, first replicate, count, cells) for each block of replicates of each key, in a task of its own."""
     jobs = [(kind, i, i * BLOCK + 1, min(BLOCK, n - i * BLOCK)) for kind, n in kinds for i in range(math.ceil(n / BLOCK))]
     if not jobs:
@@ -121,16 +121,16 @@ def _replicates(cells: DataFrame, by: list[str], kinds: list[tuple[str, int]], s
         kind, block, first, count = (pdf[c].iloc[0] for c in ("kind", "block", "first", "count"))
         # rows come in no fixed order
         pdf = pdf.assign(**{c: pdf[c].astype(str) for c in ("grp", "block_") if c in pdf}).sort_values([c for c in ("side", "block_", "grp", "y") if c in pdf], ignore_index=True)
-        out = run(_generator(*key, kind, block), str(kind), int(first), int(count), pdf)
+        out = run(_generator(*(key if seed is None else [seed]), kind, block), str(kind), int(first), int(count), pdf)
         return pd.DataFrame({c: [k] * len(next(iter(out.values()))) for c, k in zip(by, key)} | out)
 
     return spread.groupBy(*by, "kind", "block").applyInPandas(one, f"{types}, {schema}")
 
 
-def share(obs: DataFrame, by: list[str], folds: int = 5, repeats: int = 20, perms: int = 999, within: list[str] | None = None) -> DataFrame:
+def share(obs: DataFrame, by: list[str], folds: int = 5, repeats: int = 20, perms: int = 999, within: list[str] | None = None, seed: str | None = None) -> DataFrame:
     """(by) -> the columns of share.share, and ss, exceed and p of share.permutation_test, all from cell counts. obs: repeated groups only.
 
-    Labels are shuffled inside the blocks of `within`. The permutations of the test are those whose skill makes the null mean.
+    With a seed, keys whose cells are the same get the same numbers; without one, each key has its own. Labels are shuffled inside the blocks of `within`. The permutations of the test are those whose skill makes the null mean.
     """
     block = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in within or []]) if within else F.lit("")
     cells = obs.groupBy(*by, block.alias("block_"), "grp", "y").agg(F.count(F.lit(1)).alias("n"))
@@ -150,7 +150,7 @@ def share(obs: DataFrame, by: list[str], folds: int = 5, repeats: int = 20, perm
         skill = np.where(den > 0, 1 - num / np.where(den > 0, den, 1), np.nan)
         return {"kind": [kind] * count, "rep": np.arange(first, first + count), "skill": [None if np.isnan(x) else x for x in skill], "denominator": den, "ss": _between(tables, values), "seen": np.full(count, _between(whole, values))}
 
-    r = _replicates(cells, by, [("fold", repeats), ("perm", perms)], "kind string, rep long, skill double, denominator double, ss double, seen double", run)
+    r = _replicates(cells, by, [("fold", repeats), ("perm", perms)], "kind string, rep long, skill double, denominator double, ss double, seen double", run, seed)
     fold, perm = F.col("kind") == "fold", F.col("kind") == "perm"
     when = lambda c, x: F.when(c, F.col(x))
     reach = perm & (F.col("ss") >= F.col("seen") - F.lit(1e-11) * F.abs(F.col("seen")))

@@ -5,16 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written as Parquet under spark.checkpoint.dir (a folder of its own only where that is unset, as in tests) and read back."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, else the context's checkpoint folder; a folder of this machine only in local mode, refused on a cluster, where each executor would write to its own disk."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if found.isDefined():
+            base = found.get()
+        elif spark.sparkContext.master.startswith("local"):
+            base = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

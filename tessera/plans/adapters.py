@@ -89,9 +89,9 @@ readings AS (SELECT id, value, grp, grp2, panel, stratum, op, 'quantity' AS feat
 
 
 def two_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """(id, y, label_a, label_b): brand and type as two labelings of order lines, the return as outcome; every eleventh id lacks one or the other label."""
+    """(id, y, label_a, label_b): brand and type as two labelings of orders, the return as outcome, of each order's lines the least; every eleventh id lacks one or the other label."""
     li, p = table(spark, sf, "lineitem"), table(spark, sf, "part").select("p_partkey", "p_brand", "p_type")
-    j = li.join(p, li.l_partkey == p.p_partkey).filter("l_linenumber = 1").select(
+    j = li.join(p, li.l_partkey == p.p_partkey).select(
         F.col("l_orderkey").cast("string").alias("id"), (F.col("l_returnflag") == "R").cast("double").alias("y"),
         F.when(F.col("l_orderkey") % 11 != 3, F.concat_ws("/", "p_brand", (F.col("l_orderkey") % 97).cast("string"))).alias("label_a"), F.when(F.col("l_orderkey") % 11 != 5, F.col("p_type")).alias("label_b"),
     )
@@ -101,5 +101,5 @@ def two_labels(spark: SparkSession, sf: str) -> DataFrame:
 TWO_LABELS = """lab AS (
     SELECT l_orderkey::VARCHAR AS id, (l_returnflag = 'R')::INT::DOUBLE AS y,
            CASE WHEN l_orderkey % 11 <> 3 THEN p_brand || '/' || (l_orderkey % 97)::VARCHAR END AS label_a, CASE WHEN l_orderkey % 11 <> 5 THEN p_type END AS label_b
-    FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1),
+    FROM lineitem JOIN part ON l_partkey = p_partkey),
 two AS (SELECT id, y, label_a, label_b FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY y, label_a NULLS FIRST, label_b NULLS FIRST) AS rn FROM lab) WHERE rn = 1)"""

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import Config, from_dict
-from tessera.operators import counted, decompose, evidence, kernels, quality, readings
+from tessera.operators import compare, counted, decompose, evidence, kernels, quality, readings
+from tessera.operators.staging import shared_folder
 from tessera.plans import run
-from tessera.plans.adapters import docs_obs, items_mic, orders_obs, table
+from tessera.plans.adapters import docs_obs, items_mic, orders_obs, table, two_labels
 from tessera.plans.catalogue import BY, register, rounded
 from tessera.streaming import sequential as stream
 
@@ -62,6 +61,12 @@ def boot_counted_orders(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(decompose.interval(counted.bootstrap(quality.usable(orders_obs(spark, sf)), BY, "early", "late", 2000), BY, "composition"))
 
 
+@register("compare_intervals")
+def compare_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole comparison of two labelings at default budgets: its contrasts with paired intervals."""
+    return rounded(compare.comparison(two_labels(spark, sf))[1])
+
+
 @register("share_full")
 def share_full(spark: SparkSession, sf: str) -> DataFrame:
     rep = quality.repeated(docs_obs(spark, sf), BY)
@@ -132,8 +137,7 @@ def sequential_batch_events(spark: SparkSession, sf: str) -> DataFrame:
 @register("sequential_stream")
 def sequential_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The same through a stream over the events' file, all that is available, then the decisions of its state."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    work = f"{base}/stream-{spark.sparkContext.applicationId}-{abs(hash(sf)) % 10**8}-{id(sf)}"
+    work = f"{shared_folder(spark)}/stream-{spark.sparkContext.applicationId}-{abs(hash(sf)) % 10**8}-{id(sf)}"
     src = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet*").parquet(sf)
     q = stream.start(event_obs(src), f"{work}/state", f"{work}/checkpoint", late="60 days")
     q.awaitTermination()

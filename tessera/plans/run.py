@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import dataclasses
+import hashlib
+import platform
+import re
 from functools import reduce
 from pathlib import Path
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.config import Config, load
 from tessera.functions.stats import e_bh, step_up
-from tessera.operators import counted, decompose, evidence, kernels, quality, readings
+from tessera.operators import compare, counted, decompose, evidence, ingest, kernels, quality, readings
 from tessera.operators.staging import settled
 from tessera.sources import sinks, tables
 
@@ -20,6 +25,7 @@ FIELDS = {
     "log_e": "double", "batch": "string", "n": "long", "n_groups": "long", "support": "double", "prevalence": "double", "null_mean": "double", "se": "double", "draws": "long", "exact": "boolean", "conclusion": "string",
 }
 KEYS = ["level", "feature"]
+VERSION = "0.2.0"
 
 
 def rows(df: DataFrame, analysis: str, **cols: Column | str | None) -> DataFrame:
@@ -132,11 +138,28 @@ def offsetting(out: DataFrame) -> DataFrame:
     return p.filter(F.col("composition") * F.col("within") < 0)
 
 
+def provenance(spark: SparkSession, cfg: Config) -> dict[str, Any]:
+    """What a run can be repeated from: its whole configuration, the versions it ran on, and the streams of its random numbers."""
+    return {
+        "config": dataclasses.asdict(cfg), "versions": {"tessera": VERSION, "spark": spark.version, "python": platform.python_version(), "numpy": np.__version__},
+        "streams": {"counted": "sha256(key, kind, block of replicates)", "rows": "md5(stream, replicate, id)", "kernels": "sha256(stream, key)"},
+    }
+
+
 def run(spark: SparkSession, config: str | Config, out: str | None = None) -> DataFrame:
-    """The result rows of a configured analysis, published to `out` if given."""
+    """The result rows of a configured analysis, published to `out` if given. If it fails, why stands beside `out`."""
     cfg = load(config) if isinstance(config, str) else config
-    if out:
-        sinks.preflight(out)
+    if not out:
+        return _run(spark, cfg, None)
+    sinks.preflight(out)
+    try:
+        return _run(spark, cfg, out)
+    except Exception as e:
+        sinks.record_failure(out, e)
+        raise
+
+
+def _run(spark: SparkSession, cfg: Config, out: str | None) -> DataFrame:
     parts: list[DataFrame] = []
     features: list[DataFrame] = []
     if cfg.dataset.calls:
@@ -148,7 +171,7 @@ def run(spark: SparkSession, config: str | Config, out: str | None = None) -> Da
     if cfg.dataset.readings and cfg.readings.enabled:
         d = tables.dilutions(spark, cfg)
         by = ["feature", "panel"] if cfg.dataset.panel_column else ["feature"]
-        wells = cfg.dataset.wells
+        wells = tables.wells_of(cfg)
         plain = d.filter(~F.col("feature").isin(list(wells))) if wells else d
         iv = readings.intervals(plain, by, ends_censored=cfg.readings.ends_censored)
         for name, w in wells.items():
@@ -160,7 +183,10 @@ def run(spark: SparkSession, config: str | Config, out: str | None = None) -> Da
     if out:
         def fill(stage: Path) -> None:
             sinks.write_csv(df, stage / "results.csv", ["level", "feature", "analysis"])
-            record: dict[str, Any] = {"schema_version": sinks.SCHEMA_VERSION, "dataset": cfg.dataset.name, "status": [r.asDict() for r in status_summary(df).orderBy("analysis").collect()]}
+            for level in [r.level for r in df.select("level").distinct().orderBy("level").collect()] if cfg.dataset.stratify_by else []:
+                (stage / "levels").mkdir(exist_ok=True)
+                sinks.write_csv(df.filter(F.col("level") == level), stage / "levels" / f"{re.sub(r'[^A-Za-z0-9_-]+', '_', level)}-{hashlib.sha256(level.encode()).hexdigest()[:8]}.csv", ["feature", "analysis"])
+            record: dict[str, Any] = {"schema_version": sinks.SCHEMA_VERSION, "dataset": cfg.dataset.name, "provenance": provenance(spark, cfg), "status": [r.asDict() for r in status_summary(df).orderBy("analysis").collect()]}
             sinks.write_json(record, stage / "record.json")
             (stage / "report.md").write_text(report(df), encoding="utf-8")
 
@@ -168,6 +194,56 @@ def run(spark: SparkSession, config: str | Config, out: str | None = None) -> Da
     return df
 
 
+def compare_labelings(spark: SparkSession, path: str, key: str, outcome: str, label_a: str, label_b: str, out: str | None = None, folds: int = 5, repeats: int = 20, perms: int = 999, draws: int = 999) -> tuple[DataFrame, DataFrame]:
+    """Two labelings of the records of a table, compared; published to `out` as comparison.json, arms.csv, contrasts.csv and report.md if given."""
+    if label_a == label_b:
+        raise ValueError("the two labels must be different columns")
+    if folds < 2 or repeats < 1 or perms < 1 or draws < 0:
+        raise ValueError("at least two folds, one repeat and one permutation are required, and no negative number of draws")
+    if out:
+        sinks.preflight(out)
+    records = settled(tables.comparison_records(tables.read_table(spark, path, "the comparison table"), key, outcome, label_a, label_b))
+    arm, contrast = compare.comparison(records, folds, repeats, perms, draws)
+    if out:
+        def fill(stage: Path) -> None:
+            sinks.write_csv(arm, stage / "arms.csv", ["arm"])
+            sinks.write_csv(contrast, stage / "contrasts.csv", ["contrast"])
+            rows_ = {"arms": [r.asDict() for r in arm.orderBy("arm").collect()], "contrasts": [r.asDict() for r in contrast.orderBy("contrast").collect()]}
+            sinks.write_json({"schema_version": sinks.SCHEMA_VERSION, "label_a": label_a, "label_b": label_b, "settings": {"folds": folds, "repeats": repeats, "permutations": perms, "draws": draws}} | rows_, stage / "comparison.json")
+            num = lambda v: "" if v is None or v != v else f"{v:.4g}"
+            lines = [f"# {label_a} and {label_b}", "", "| arm | records | share | p |", "|---|---|---|---|", *(f"| {r['arm']} | {r['n']} | {num(r['kappa_adj'])} | {num(r['p'])} |" for r in rows_["arms"])]
+            lines += ["", "| contrast | estimate | lower | upper |", "|---|---|---|---|", *(f"| {r['contrast']} | {num(r['estimate'])} | {num(r['lower'])} | {num(r['upper'])} |" for r in rows_["contrasts"])]
+            (stage / "report.md").write_text("\n".join([*lines, ""]), encoding="utf-8")
+
+        sinks.publish(out, fill)
+    return arm, contrast
+
+
+def check(spark: SparkSession, cfg: Config, out: str | None = None) -> dict[str, Any]:
+    """What the tables of a configuration hold, without any analysis; published to `out` as check.json and check.md if given."""
+    if out:
+        sinks.preflight(out)
+    if cfg.dataset.calls:
+        found = quality.feasibility(tables.observations(spark, cfg), ["feature"]).orderBy("feature").collect()
+        left = tables.calls(spark, cfg)
+    else:
+        left = tables.dilutions(spark, cfg)
+        found = left.groupBy("feature").count().orderBy("feature").collect()
+    result = {"features": [r.asDict() for r in found], "join": ingest.join_report(left, tables.members(spark, cfg)).first().asDict()}
+    if out:
+        def fill(stage: Path) -> None:
+            sinks.write_json({"schema_version": sinks.SCHEMA_VERSION, "dataset": cfg.dataset.name, "provenance": provenance(spark, cfg)} | result, stage / "check.json")
+            j = result["join"]
+            lines = ["# Input check", "", f"{j['matched']} ids have metadata, {j['only_left']} have none, and {j['only_right']} stand in the metadata alone.", ""]
+            for f in result["features"]:
+                why = f.get("refused")
+                lines.append(f"- {f['feature']}: " + (f"left out, {why}." if why else "can be analysed." if "refused" in f else f"{f['count']} readings."))
+            (stage / "check.md").write_text("\n".join([*lines, ""]), encoding="utf-8")
+
+        sinks.publish(out, fill)
+    return result
+
+
 def report(df: DataFrame) -> str:
     """The result rows as a Markdown table per feature."""
     lines, at, shown = ["# Results", ""], None, ("analysis", "estimate", "lower", "upper", "p", "q", "conclusion")

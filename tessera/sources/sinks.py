@@ -8,9 +8,10 @@ import json
 import math
 import os
 import tempfile
+import traceback
 from collections.abc import Callable
 from pathlib import Path
-from shutil import rmtree
+from shutil import copy2, rmtree
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -59,6 +60,32 @@ def preflight(target: str) -> Path:
     return p
 
 
+def keep_foreign(old: Path, stage: Path) -> None:
+    """Copies what the last run didn't write, by its manifest, from the old folder to the new one; a new file of the same name stands."""
+    if not (old / "manifest.json").exists():
+        return
+    own = {*json.loads((old / "manifest.json").read_text(encoding="utf-8")).get("sha256", {}), "manifest.json"}
+    for f in sorted(old.rglob("*")):
+        name, to = str(f.relative_to(old)), stage / f.relative_to(old)
+        if f.is_symlink() and name not in own and not to.exists():
+            to.parent.mkdir(parents=True, exist_ok=True)
+            to.symlink_to(os.readlink(f))
+        elif f.is_dir():
+            if not any(x.startswith(name + os.sep) for x in own):
+                to.mkdir(parents=True, exist_ok=True)
+        elif f.is_file() and name not in own and not to.exists():
+            to.parent.mkdir(parents=True, exist_ok=True)
+            copy2(f, to)
+
+
+def record_failure(target: str, error: BaseException) -> Path:
+    """Writes why a run ended beside its target, which stays as it was: an earlier run's results are never touched."""
+    p = Path(target).resolve()
+    at = p.with_name(p.name + ".failure.json")
+    write_json({"schema_version": SCHEMA_VERSION, "error": type(error).__name__, "message": str(error), "traceback": traceback.format_exception(error)}, at)
+    return at
+
+
 def publish(target: str, fill: Callable[[Path], None]) -> None:
     """Fills a folder beside the target and swaps it in; files of the target that the run doesn't own stay, and a failure leaves the target as it was."""
     p = preflight(target)
@@ -66,7 +93,8 @@ def publish(target: str, fill: Callable[[Path], None]) -> None:
     old = stage.with_name(stage.name + "-old")
     try:
         fill(stage)
-        files = {f.name: hashlib.sha256(f.read_bytes()).hexdigest() for f in sorted(stage.iterdir()) if f.is_file()}
+        files = {str(f.relative_to(stage)): hashlib.sha256(f.read_bytes()).hexdigest() for f in sorted(stage.rglob("*")) if f.is_file()}
+        keep_foreign(p, stage)
         (stage / "manifest.json").write_text(json.dumps({"schema_version": SCHEMA_VERSION, "sha256": files}, indent=1, sort_keys=True))
         if p.exists():
             p.rename(old)

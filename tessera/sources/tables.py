@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.config import Config, ConfigError
+from tessera.config import Config, ConfigError, doubling_wells
 from tessera.functions import text
 from tessera.operators import ingest
 
@@ -108,6 +108,7 @@ def calls(spark: SparkSession, cfg: Config) -> DataFrame:
         long = raw.select(F.col(f"`{key}`").alias("id"), F.col(f"`{d.feature_column}`").alias("feature"), F.col(f"`{d.call_column}`").alias("call"))
     ingest.require_keys(long, ["id", "feature"], "calls")
     r = ingest.recode(long.withColumn("feature", text.unified_name(F.col("feature"))), d.call_kind, d.intermediate)
+    refuse_unreadable(r, d.call_kind)
     one = ingest.resolve_duplicates(r, ["id", "feature"], ["meaning"], d.duplicate_policy, positive="y")
     return one.select("id", "feature", "y")
 
@@ -117,7 +118,17 @@ def dilutions(spark: SparkSession, cfg: Config) -> DataFrame:
     d = cfg.dataset
     key = d.reading_id_column or d.id_column
     raw = read_table(spark, located(cfg, d.readings), "readings")
-    extra = [c for c in (d.operator_column, d.unit_column, d.panel_column, *d.covariate_columns) if c]
+    # a panel or covariate that the readings lack is taken from the metadata; where both have one, the reading's own stands unless it is blank
+    asked = [c for c in (d.panel_column, *d.covariate_columns) if c]
+    meta = read_table(spark, located(cfg, d.metadata), "metadata")
+    borrowed = [c for c in asked if c in meta.columns and c != d.id_column]
+    if borrowed:
+        per = meta.groupBy(F.col(f"`{d.id_column}`").alias("_meta_id")).agg(*[F.max(F.trim(F.col(f"`{c}`"))).alias(f"_meta_{i}") for i, c in enumerate(borrowed)])
+        raw = raw.join(per, F.col(f"`{key}`") == F.col("_meta_id"), "left").drop("_meta_id")
+        for i, c in enumerate(borrowed):
+            own = F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")) if c in raw.columns else F.lit(None).cast("string")
+            raw = raw.withColumn(c, F.coalesce(own, F.col(f"_meta_{i}"), F.lit(""))).drop(f"_meta_{i}")
+    extra = [c for c in (d.operator_column, d.unit_column, *asked) if c]
     need(raw, [key, *extra, *(d.reading_feature_columns or (d.reading_feature_column, d.value_column))], "readings")
     if d.reading_feature_columns:
         raw = ingest.melt(raw.select(key, *extra, *d.reading_feature_columns), [key, *extra], list(d.reading_feature_columns), "feature", "value")
@@ -133,10 +144,55 @@ def dilutions(spark: SparkSession, cfg: Config) -> DataFrame:
     wrong = parsed.filter(F.col("clash") | F.col("bad_sign")).limit(1).collect()
     if wrong:
         raise ingest.Refused(f"a sign in the cell and the recorded operator disagree or are unknown, as in {wrong[0]['value']!r} of {wrong[0]['id']}")
+    refuse_readings(parsed, bool(asked), wells_of(cfg))
     r = parsed.select("id", "feature", F.col("number").alias("value"), F.col("sign").alias("op"), "panel", "stratum")
     return ingest.resolve_duplicates(r, ["id", "feature"], ["value", "op"], "error" if d.duplicate_policy == "error" else "drop_conflicts")
 
 
+def wells_of(cfg: Config) -> dict[str, list[float]]:
+    """The wells of each feature: doublings from the first to the last of its declared range, or those declared one by one, which win."""
+    return {f: doubling_wells(*r) for f, r in cfg.dataset.well_ranges.items()} | cfg.dataset.wells
+
+
+def refuse_readings(parsed: DataFrame, strata: bool, wells: dict[str, list[float]]) -> None:
+    """Refuses what an order can't be read from: a censoring sign without a number, a reading without the label of its stratum, and one far from every declared well of its feature."""
+    bad = {
+        "a censoring sign stands before no positive number": parsed.filter(F.col("sign").rlike("[<>]") & F.col("number").isNull()),
+        "the label of a stratum is missing": parsed.filter(F.col("number").isNotNull() & F.exists(F.split("stratum", " / "), lambda x: F.trim(x) == "")) if strata else parsed.limit(0),
+    }
+    for feature, w in wells.items():
+        bad[f"the wells of {feature} don't hold the value"] = ingest.off_panel(parsed.filter(F.col("feature") == text.unified_name(F.lit(feature))), w)
+    for why, rows in bad.items():
+        first = rows.select("id", "feature", "value").orderBy("id", "feature", "value").limit(3).collect()
+        if first:
+            raise ingest.Refused(f"{why}, as in {', '.join(f'{r.value!r} of {r.id} ({r.feature})' for r in first)}; {rows.count()} in all")
+
+
+def refuse_unreadable(calls_: DataFrame, kind: str) -> None:
+    """Refuses a table of which the declared vocabulary reads no call, and names those that would read them all."""
+    found = calls_.filter(F.col("meaning") != "missing").agg(F.count_if(~F.col("meaning").startswith("unknown:")).alias("read"), F.count_if(F.col("meaning").startswith("unknown:")).alias("bad")).first()
+    if found["bad"] and not found["read"]:
+        words = [r["t"] for r in calls_.filter(F.col("meaning").startswith("unknown:")).groupBy(F.substring("meaning", 9, 1000).alias("t")).count().orderBy(F.desc("count"), "t").limit(50).collect()]
+        fits = text.fitting_kinds(words, kind)
+        raise ingest.Refused(f"no call is one of {kind}, as in {', '.join(map(repr, words[:3]))}" + (f"; {' or '.join(fits)} reads them" if fits else ""))
+
+
+def comparison_records(df: DataFrame, key: str, outcome: str, label_a: str, label_b: str) -> DataFrame:
+    """(id, y, label_a, label_b) of a table with one row per record: outcomes 0, 1 or a word for none, ids that occur once. Anything else is refused."""
+    need(df, [key, outcome, label_a, label_b], "the comparison table")
+    raw = F.trim(F.col(f"`{outcome}`").cast("string"))
+    none = raw.isNull() | F.lower(raw).isin("", "nan", "na", "n/a", "null")
+    out = df.select(F.trim(F.col(f"`{key}`").cast("string")).alias("id"), F.when(~none, raw).alias("_raw"), F.when(~none, raw.try_cast("double")).alias("y"), F.col(f"`{label_a}`").cast("string").alias("label_a"), F.col(f"`{label_b}`").cast("string").alias("label_b"))
+    odd = out.filter(F.col("_raw").isNotNull() & ~F.coalesce(F.col("y").isin(0.0, 1.0), F.lit(False))).limit(1).collect()
+    if odd:
+        raise ingest.Refused(f"outcomes must be 0 or 1, not {odd[0]['_raw']!r} of {odd[0]['id']}")
+    blank = out.filter(F.col("id").isNull() | F.col("id").isin("", "nan", "<NA>", "NaT")).limit(1).count()
+    twice = out.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy("id").limit(1).collect()
+    if blank or twice:
+        raise ingest.Refused("records without an id" if blank else f"the id {twice[0]['id']!r} occurs {twice[0]['n']} times")
+    return out.drop("_raw")
+
+
 def observations(spark: SparkSession, cfg: Config) -> DataFrame:
     """(id, feature, y, grp, stratum, unit, batch, side, level) of all ids that calls or readings name."""
     c = calls(spark, cfg)
