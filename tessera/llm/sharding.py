@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _M = 2862933555777941757
@@ -46,19 +46,19 @@ def jump_shard(key: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, jump, lambda acc: acc["b"].cast("int"))
 
 
-def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", rows_per_range: int = 200_000, grown: bool = True) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", rows_per_range: int = 50_000, grown: bool = True) -> DataFrame:
     """docs with _size, _crc, _shard, _slot and _grown_shard; every input column stays.
 
     The law is `key`: key and shard count alone decide, and with one more shard rows move only into
     that shard. Slots count from 0 without gaps in each shard, in the order of key, checksum and size. They
     need no sort of a whole shard in one task: keys fall into ranges (cut points from an approximate
-    percentile, at most 4096), rows are numbered inside (shard, range), and the counts of earlier ranges,
-    a table of at most shards x 4096 rows, are added.
+    percentile, at most 4096), a key that fills a range of its own (null is one) into 256 by checksum, rows are numbered inside (shard, range), and the counts of earlier ranges,
+    a table of at most shards x 4096 x 256 rows and in practice a few more than there are ranges, are added. Only rows that agree in key, checksum and size must meet.
     Null keys count as key 0 for the shard and come first in the order; null texts have no bytes and checksum 0; repeated rows get
     slots of their own; an empty table gives no rows; an input column with one of the new names, or
     _range, _at, _before, is replaced.
     """
-    docs = docs.drop("_size", "_crc", "_shard", "_slot", "_grown_shard", "_range", "_at", "_before")
+    docs = docs.drop("_size", "_crc", "_shard", "_slot", "_grown_shard", "_range", "_part", "_at", "_before")
     out = docs.withColumns(
         {
             "_size": (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + F.lit(8)).cast("long"),
@@ -70,17 +70,19 @@ def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str
         out = out.withColumn("_grown_shard", jump_shard(F.col(key), shards + 1))
     ranges = min(4096, docs.count() // rows_per_range + 1)
     cuts: list[int] = []
+    hot: list[int] = []
     if ranges > 1:
         at = ",".join(str(i / ranges) for i in range(1, ranges))
         found = docs.agg(F.expr(f"approx_percentile(`{key}`, array({at}), 100000)")).first()[0]
-        cuts = sorted(set(found or []))
+        hot = sorted({a for a, b in zip(found or [], (found or [])[1:]) if a == b})
+        cuts = sorted({*(found or []), *(k - 1 for k in hot if k > -(1 << 63))})
     place = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col(key))) if cuts else F.lit(0)
     out = out.withColumn("_range", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(place).cast("int"))
-    counts = out.groupBy("_shard", "_range").agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("_shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_shard", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_shard", "_range").orderBy(F.col(key).asc_nulls_first(), "_crc", "_size")
+    alone = F.col(key).isNull() | F.coalesce(F.col(key).isin(hot), F.lit(False))
+    out = out.withColumn("_part", F.when(alone, F.shiftright("_crc", 24)).otherwise(F.lit(0)).cast("int"))
+    counts = out.groupBy("_shard", "_range", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_shard").orderBy("_range", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_shard", "_range", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_shard", "_range", "_part").orderBy(F.col(key).asc_nulls_first(), "_crc", "_size")
     numbered = out.withColumn("_at", F.row_number().over(inside))
-    return numbered.join(F.broadcast(offsets), ["_shard", "_range"]).withColumn("_slot", (F.col("_before") + F.col("_at") - 1).cast("long")).drop("_at", "_before", "_range")
+    return numbered.join(F.broadcast(offsets), ["_shard", "_range", "_part"]).withColumn("_slot", (F.col("_before") + F.col("_at") - 1).cast("long")).drop("_at", "_before", "_range", "_part")
