@@ -85,7 +85,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
+# jump consistent hashing in 128-bit integers, the 64-bit key as an unsigned number; CRC-32 bit by bit over a table of 256 remainders
+_CRC = [0] * 256
+for _i in range(256):
+    _c = _i
+    for _ in range(8):
+        _c = _c >> 1 ^ (0xEDB88320 if _c & 1 else 0)
+    _CRC[_i] = _c
+_JUMP = """list_reduce(list_prepend({{'k': (coalesce(doc_id, 0)::HUGEINT + 18446744073709551616) % 18446744073709551616, 'b': 0::BIGINT, 'j': 0::BIGINT}},
+        list_transform(generate_series(1, {n}), lambda x: {{'k': 0::HUGEINT, 'b': 0::BIGINT, 'j': 0::BIGINT}})),
+        lambda a, x: CASE WHEN a.j >= {n} THEN a ELSE {{'k': (a.k * 2862933555777941757 + 1) % 18446744073709551616, 'b': a.j,
+            'j': floor((a.j + 1) * (2147483648.0::DOUBLE / ((((a.k * 2862933555777941757 + 1) % 18446744073709551616) // 8589934592) + 1)::DOUBLE))::BIGINT}} END).b::INT"""
+
 ORACLE: dict[str, str] = {
+    "op3_jump_shards": f"""
+        WITH t AS (SELECT {_CRC}::UBIGINT[] AS crc),
+        d AS (SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 8)::BIGINT AS size,
+                     xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::UBIGINT)),
+                       lambda a, x: xor(a >> 8, crc[((xor(a, x) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT AS text_crc32 FROM documents, t),
+        s AS (SELECT *, {_JUMP.format(n=24)} AS shard, {_JUMP.format(n=25)} AS grown_shard FROM d)
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM s""",
     "op2_decontaminate": f"""
         WITH b0 AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
         b AS (SELECT item_id, w, least(5, len(w)) AS k FROM b0 WHERE len(w) > 0),
