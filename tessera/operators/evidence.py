@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import uniform
-from tessera.functions.stats import k_log, log_mean_exp
+from tessera.functions.stats import e_bh, k_log, log_mean_exp
 from tessera.operators.share import replicated
 
 CLIP = 1e-6
@@ -86,6 +86,15 @@ def anytime(paths: DataFrame, by: list[str], family: list[str], alpha: float = 0
     return p.withColumn("m", m).withColumn("rejected", F.col("peak_log_e") >= F.log(F.col("m") / F.lit(alpha)))
 
 
+def looks(paths: DataFrame, by: list[str], batch: str = "batch", place: Column | None = None, alpha: float = 0.05) -> DataFrame:
+    """(by, batch) -> the running log e-value at each look and whether the step-up rule over all tests rejects then. A test without records in an intake stands as it did."""
+    at = place if place is not None else F.col(batch).cast("double")
+    every = paths.select(batch).distinct().join(F.broadcast(paths.select(*by).distinct()), F.lit(True))
+    run = Window.partitionBy(*by).orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+    filled = every.join(paths.select(*by, batch, "log_e"), [*by, batch], "left").withColumn("_o", at).withColumn("log_e", F.coalesce(F.last("log_e", ignorenulls=True).over(run), F.lit(0.0)))
+    return e_bh(filled.select(*by, batch, "log_e"), "log_e", [batch], alpha)
+
+
 def combined(values: DataFrame, by: list[str], e: str = "e") -> DataFrame:
     """(by) -> product and mean of e-values. A zero makes the product zero; an infinite and a zero together are refused."""
     top, low = F.max(e), F.min(e)

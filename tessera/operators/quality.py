@@ -119,6 +119,15 @@ def difference_bounds(obs: DataFrame, by: list[str], a: str, b: str) -> DataFram
     return bounds.groupBy(*by).agg((one(a, "lower") - one(b, "upper")).alias("lower"), (one(a, "upper") - one(b, "lower")).alias("upper"), (one(a, "observed") - one(b, "observed")).alias("observed"))
 
 
+def two_cells(obs: DataFrame, by: list[str]) -> DataFrame:
+    """Limits of an order of one cut, from the prevalence and the group rates alone: the share of the label at mid-scores and how much of the order the two cells leave open."""
+    c = obs.groupBy(*by, "grp").agg(F.count(F.lit(1)).alias("m"), F.sum("y").alias("s"))
+    n, pos = F.sum("m"), F.sum("s")
+    raw = F.sum(F.col("s") * F.col("s") / F.col("m"))
+    p = pos / n
+    return c.groupBy(*by).agg(n.alias("n"), (3 * (raw / n - p * p)).alias("midpoint"), (3 * p * (1 - p)).alias("resolution"))
+
+
 def untyped_share(obs: DataFrame, by: list[str]) -> DataFrame:
     return obs.groupBy(*by).agg(F.avg(untyped(F.col("grp")).cast("double")).alias("missing_share"), F.count(F.lit(1)).alias("n"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import decompose, derived, quality
+from tessera.operators import counted, decompose, derived, quality
 from tessera.plans.adapters import DOCS_OBS, docs_obs, items_mic, items_mic_sql, table
 from tessera.plans.catalogue import BY, r6, register, rounded
 
@@ -76,17 +76,17 @@ register(
 )(lambda spark, sf: derived.cohort(spark.range(20000), 12, 0.2, 0.3).groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.sum("y").alias("s")))
 register(
     "inner_one_to_one",
-    "SELECT n_name, r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey < 5 GROUP BY 1, 2",
+    "SELECT n_name, r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT s_nationkey, min(s_suppkey) AS s_suppkey FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey GROUP BY 1, 2",
 )(
     lambda spark, sf: table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    .join(table(spark, sf, "supplier").filter("s_suppkey < 5"), F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("n"))
+    .join(table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("s_suppkey")), F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("n"))
 )
 
 
 @register("boot_alternatives")
 def boot_alternatives(spark, sf):
     o = quality.usable(docs_obs(spark, sf))
-    return rounded(decompose.alternatives(decompose.bootstrap(o, BY, "en", "rest", 49), decompose.kitagawa(o, BY, "en", "rest"), BY, "within"))
+    return rounded(decompose.alternatives(counted.bootstrap(o, BY, "en", "rest", 2000), decompose.kitagawa(o, BY, "en", "rest"), BY, "within"))
 
 
 register(

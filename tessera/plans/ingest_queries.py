@@ -80,9 +80,9 @@ def _wide(spark: SparkSession, sf: str) -> DataFrame:
 
 _WIDE = "w AS (SELECT o_orderkey::VARCHAR AS id, (o_orderstatus = 'F')::INT::DOUBLE AS finished, CASE WHEN o_orderkey % 5 > 0 THEN (o_totalprice > 150000)::INT::DOUBLE END AS large FROM orders)"
 register("melt_wide", f"WITH {_WIDE} SELECT id, 'finished' AS feature, finished AS value FROM w UNION ALL SELECT id, 'large', large FROM w")(lambda spark, sf: ingest.melt(_wide(spark, sf), ["id"]))
-register("pivot_panel", f"WITH {_WIDE}, u AS (SELECT id FROM w UNION SELECT 'x' || c_custkey::VARCHAR FROM customer WHERE c_custkey < 50) SELECT u.id, finished, large FROM u LEFT JOIN w USING (id)")(
+register("pivot_panel", f"WITH {_WIDE}, u AS (SELECT id FROM w UNION SELECT 'x' || c_custkey::VARCHAR FROM customer) SELECT u.id, finished, large FROM u LEFT JOIN w USING (id)")(
     lambda spark, sf: ingest.panel(
-        ingest.melt(_wide(spark, sf), ["id"], value="y"), _wide(spark, sf).select("id").union(table(spark, sf, "customer").filter("c_custkey < 50").select(F.concat(F.lit("x"), F.col("c_custkey").cast("string")))).distinct(), ["finished", "large"]
+        ingest.melt(_wide(spark, sf), ["id"], value="y"), _wide(spark, sf).select("id").union(table(spark, sf, "customer").select(F.concat(F.lit("x"), F.col("c_custkey").cast("string")))).distinct(), ["finished", "large"]
     )
 )
 

@@ -9,8 +9,9 @@ from tessera.config import Config, from_dict
 from tessera.operators import compare, counted, decompose, evidence, kernels, quality, readings
 from tessera.operators.staging import shared_folder
 from tessera.plans import run
-from tessera.plans.adapters import docs_obs, items_mic, orders_obs, table, two_labels
+from tessera.plans.adapters import DOCS_OBS, docs_obs, items_mic, orders_obs, table, two_labels
 from tessera.plans.catalogue import BY, register, rounded
+from tessera.plans.share_queries import SEQUENTIAL_SQL
 from tessera.streaming import sequential as stream
 
 
@@ -103,7 +104,13 @@ def call_bounds(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(kernels.latent_bounds(c, BY))
 
 
-@register("fisher_exact")
+@register(
+    "fisher_exact",
+    f"""WITH {DOCS_OBS}, t AS (SELECT feature, count(*) FILTER (WHERE side = 'en' AND y = 1) AS a, count(y) FILTER (WHERE side = 'en') AS n, count(*) FILTER (WHERE y = 1) AS k, count(y) AS total FROM obs GROUP BY 1),
+    x AS (SELECT *, unnest(generate_series(greatest(0, k + n - total), least(n, k))) AS i FROM t),
+    l AS (SELECT *, lgamma(k + 1) - lgamma(i + 1) - lgamma(k - i + 1) + lgamma(total - k + 1) - lgamma(n - i + 1) - lgamma(total - k - n + i + 1) - lgamma(total + 1) + lgamma(n + 1) + lgamma(total - n + 1) AS lp FROM x)
+    SELECT feature, round(least(1.0, sum(exp(lp)) FILTER (WHERE lp <= seen + 1e-7)), 6) + 0.0 AS p FROM (SELECT *, max(CASE WHEN i = a THEN lp END) OVER (PARTITION BY feature) AS seen FROM l) GROUP BY 1""",
+)
 def fisher(spark: SparkSession, sf: str) -> DataFrame:
     c = decompose.label_coverage(docs_obs(spark, sf), BY, "en", "rest")
     col = lambda n: F.col(n)
@@ -127,7 +134,11 @@ def event_obs(df: DataFrame) -> DataFrame:
     return df.select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("feature"), (F.col("user_id") % 20).cast("string").alias("grp"), (F.col("value") > 50).cast("double").alias("y"), F.col("ts").cast("timestamp").alias("ts"))
 
 
-@register("sequential_batch_events")
+@register(
+    "sequential_batch_events",
+    f"""WITH obs AS (SELECT event_id::VARCHAR AS id, event_type AS feature, (user_id % 20)::VARCHAR AS grp, (value > 50)::INT::DOUBLE AS y, epoch(date_trunc('day', ts))::BIGINT::VARCHAR AS batch FROM events),
+    usable AS (SELECT * FROM obs WHERE y IS NOT NULL), {SEQUENTIAL_SQL}""",
+)
 def sequential_batch_events(spark: SparkSession, sf: str) -> DataFrame:
     """Daily intakes of events in one batch: what the stream must equal."""
     o = event_obs(table(spark, sf, "events")).withColumn("batch", F.date_trunc("day", "ts").cast("long").cast("string"))

@@ -106,14 +106,28 @@ for _tag, _obs, _sql in (("docs", docs_obs, DOCS_OBS), ("orders", orders_obs, OR
         lambda spark, sf, c=_cells: rounded(evidence.shrunk(c(spark, sf), BY))
     )
     ratio_sql = "sum({s} * ln(p) + ({n} - {s}) * ln(1 - p)) - (CASE WHEN sum({s}) > 0 THEN sum({s}) * ln(sum({s}) / sum({n})) ELSE 0 END + CASE WHEN sum({n}) > sum({s}) THEN (sum({n}) - sum({s})) * ln(1 - sum({s}) / sum({n})) ELSE 0 END)"
-    register(
-        f"sequential_e_process_{_tag}",
-        f"""WITH {_rs}, c0 AS (SELECT feature, batch, grp, count(*) AS n, sum(y) AS s FROM usable GROUP BY ALL), c AS (SELECT b.feature, b.batch, g.grp, coalesce(n, 0) AS n, coalesce(s, 0) AS s FROM (SELECT DISTINCT feature, batch FROM c0) b JOIN (SELECT DISTINCT feature, grp FROM c0) g USING (feature) LEFT JOIN c0 ON c0.feature = b.feature AND c0.batch = b.batch AND c0.grp = g.grp),
+    sequential_sql = (
+        f"""c0 AS (SELECT feature, batch, grp, count(*) AS n, sum(y) AS s FROM usable GROUP BY ALL), c AS (SELECT b.feature, b.batch, g.grp, coalesce(n, 0) AS n, coalesce(s, 0) AS s FROM (SELECT DISTINCT feature, batch FROM c0) b JOIN (SELECT DISTINCT feature, grp FROM c0) g USING (feature) LEFT JOIN c0 ON c0.feature = b.feature AND c0.batch = b.batch AND c0.grp = g.grp),
         t AS (SELECT *, coalesce(sum(n) OVER w, 0) AS tn, coalesce(sum(s) OVER w, 0) AS ts FROM c WINDOW w AS (PARTITION BY feature, grp ORDER BY batch::DOUBLE ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), {shrunk_sql('t', 'e', 'feature, batch', 'tn', 'ts')},
         x AS (SELECT feature, batch, {ratio_sql.format(n='n', s='s')} AS term FROM e WHERE n > 0 AND n_train >= 2 AND g_train >= 2 GROUP BY ALL), z AS (SELECT feature, batch, sum(n)::BIGINT AS n_batch FROM c GROUP BY ALL),
         q AS (SELECT z.feature, z.batch, n_batch, coalesce(term, 0) AS term, sum(coalesce(term, 0)) OVER (PARTITION BY z.feature ORDER BY z.batch::DOUBLE ROWS UNBOUNDED PRECEDING) AS log_e FROM z LEFT JOIN x ON x.feature = z.feature AND x.batch = z.batch)
-        SELECT feature, batch, n_batch, {r6('term', 'term')}, {r6('log_e', 'log_e')}, {r6('max(log_e) OVER (PARTITION BY feature ORDER BY batch::DOUBLE ROWS UNBOUNDED PRECEDING)', 'peak')} FROM q""",
-    )(lambda spark, sf, obs=_obs: rounded(evidence.sequential(quality.usable(obs(spark, sf)), BY)))
+        {{0}}"""
+    )
+    SEQUENTIAL_SQL = sequential_sql.format(f"SELECT feature, batch, n_batch, {r6('term', 'term')}, {r6('log_e', 'log_e')}, {r6('max(log_e) OVER (PARTITION BY feature ORDER BY batch::DOUBLE ROWS UNBOUNDED PRECEDING)', 'peak')} FROM q")
+    register(f"sequential_e_process_{_tag}", f"WITH {_rs}, {SEQUENTIAL_SQL}")(lambda spark, sf, obs=_obs: rounded(evidence.sequential(quality.usable(obs(spark, sf)), BY)))
+    register(
+        f"e_bh_by_look_{_tag}",
+        f"WITH {_rs}, "
+        + sequential_sql.format(
+            f"""SELECT feature, batch, {r6('log_e', 'log_e')}, m, top AS n_rejected, k <= top AS rejected, {r6('CASE WHEN top > 0 THEN m / (0.05 * top) END', 'threshold')}
+            FROM (SELECT *, coalesce(max(CASE WHEN log_e >= ln(m / (0.05 * k)) THEN k END) OVER (PARTITION BY batch), 0) AS top
+                  FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY log_e DESC, feature) AS k, count(*) OVER (PARTITION BY batch) AS m FROM q))"""
+        ),
+    )(lambda spark, sf, obs=_obs: rounded(evidence.looks(evidence.sequential(quality.usable(obs(spark, sf)), BY), BY)))
+    register(
+        f"two_cells_{_tag}",
+        f"WITH {_rs}, c AS (SELECT feature, grp, count(*) AS m, sum(y) AS s FROM usable GROUP BY ALL) SELECT feature, sum(m)::BIGINT AS n, {r6('3 * (sum(s * s / m) / sum(m) - pow(sum(s) / sum(m), 2))', 'midpoint')}, {r6('3 * sum(s) / sum(m) * (1 - sum(s) / sum(m))', 'resolution')} FROM c GROUP BY 1",
+    )(lambda spark, sf, obs=_obs: rounded(quality.two_cells(quality.usable(obs(spark, sf)), BY)))
     register(
         f"split_e_value_{_tag}",
         f"""WITH {_rs}, r AS (SELECT feature, rep, grp, y, floor({U.format("'efold|' || rep || '|' || id")} * 5)::INT AS fold FROM usable, {reps(_r)}), c0 AS (SELECT feature, rep, fold, grp, count(*) AS n, sum(y) AS s FROM r GROUP BY ALL),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators.evidence import anytime, sequential_counts
+from tessera.operators.evidence import anytime, looks, sequential_counts
 
 SCHEMA = "feature string, grp string, batch string, n long, s double"
 
@@ -29,6 +31,16 @@ def start(events: DataFrame, state: str, checkpoint: str, width: str = "1 day",
     return (q.trigger(availableNow=True) if once else q).start()
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """How many rows the stream set aside because they came after the watermark, over the progress that it still knows."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in json.loads(p.json if hasattr(p, "json") else json.dumps(p))["stateOperators"])
+
+
+def looks_so_far(spark: SparkSession, state: str, alpha: float = 0.05) -> DataFrame:
+    """Which features the step-up rule rejects at each look of the stream."""
+    return looks(sequential_counts(counts(spark, state), ["feature"]), ["feature"], alpha=alpha)
+
+
 def counts(spark: SparkSession, state: str) -> DataFrame:
     """The latest totals of each intake."""
     df = spark.read.schema(SCHEMA + ", epoch long").option("basePath", state).parquet(state)
