@@ -21,7 +21,9 @@ def usable(obs: DataFrame) -> DataFrame:
 
 def repeated(obs: DataFrame, by: list[str]) -> DataFrame:
     """usable rows whose group has at least two of them."""
-    return usable(obs).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(*by, "grp"))).filter("_m >= 2").drop("_m")
+    u = usable(obs)
+    # sizes are counted map-side first and then met, so that no group has to stand in one task
+    return u.join(u.groupBy(*by, "grp").agg(F.count(F.lit(1)).alias("_m")).filter("_m >= 2"), [*by, "grp"], "left_semi")
 
 
 def trait_adequacy(obs: DataFrame, by: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.staging import small
+
 INF = float("inf")
 NEAR = 0.25
 
@@ -34,8 +36,8 @@ def intervals(readings: DataFrame, by: list[str], wells: list[float] | None = No
     A sign overrides: = is the well's own interval, > is above the value, >= above the well below, < and <= up to the value. A blank on the top well is the
     well's own interval if any reading of the panel has > or >= there, as the laboratory then says when it is beyond. Null where there is no positive value. `by` may hold the panel.
     """
-    # a panel has few wells, so its lattice travels to the readings
-    r = readings.join(F.broadcast(lattice(readings, by, wells)), by, "left").withColumn("_v", F.when(F.col("value") > 0, F.log2("value")))
+    # a panel has few wells, so its lattice travels to the readings, and so does what is said of its top well
+    r = readings.join(small(lattice(readings, by, wells)), by, "left").withColumn("_v", F.when(F.col("value") > 0, F.log2("value")))
     r = r.withColumns({"_i": _index(F.col("_v")), "_n": F.size("wells")})
     well, first = F.element_at("wells", F.col("_i") + 1), F.element_at("wells", 1)
     below = F.when(F.col("_i") > 0, F.element_at("wells", F.greatest(F.col("_i"), F.lit(1)))).otherwise(first - 1)
@@ -44,20 +46,22 @@ def intervals(readings: DataFrame, by: list[str], wells: list[float] | None = No
     hi = F.when(top & F.lit(ends_censored), F.lit(INF)).otherwise(well)
     if signs:
         op = F.coalesce("op", F.lit(""))
-        told = F.coalesce(F.max(top & op.isin(">", ">=")).over(Window.partitionBy(*by)), F.lit(False))
+        beyond = r.filter(top & op.isin(">", ">=")).select(*by).distinct().withColumn("_told", F.lit(True))
+        r = r.join(small(beyond), by, "left")
+        told = F.coalesce("_told", F.lit(False))
         own = (op == "=") | ((op == "") & top & told)
         lo, hi = (
             F.when(own | (op == ">="), below).when(op == ">", F.col("_v")).when(op.isin("<", "<="), F.lit(-INF)).otherwise(lo),
             F.when(own, well).when(op.isin(">", ">="), F.lit(INF)).when(op.isin("<", "<="), F.col("_v")).otherwise(hi),
         )
     known = F.col("_v").isNotNull()
-    return r.withColumns({"lo": F.when(known, lo), "hi": F.when(known, hi)}).drop("_v", "_i", "_n", "wells", "kind")
+    return r.withColumns({"lo": F.when(known, lo), "hi": F.when(known, hi)}).drop("_v", "_i", "_n", "_told", "wells", "kind")
 
 
 def geometry(readings: DataFrame, by: list[str], wells: list[float] | None = None) -> DataFrame:
     """Of each panel: kind, wells, ends, shares on the end wells, recorded values, ratios of neighbours."""
     lat = lattice(readings, by, wells)
-    r = readings.filter("value > 0").join(F.broadcast(lat), by).withColumn("_v", F.log2("value")).withColumn("_i", _index(F.col("_v")))
+    r = readings.filter("value > 0").join(small(lat), by).withColumn("_v", F.log2("value")).withColumn("_i", _index(F.col("_v")))
     a = r.groupBy(*by).agg(F.avg((F.col("_i") == 0).cast("double")).alias("share_on_lowest"), F.avg((F.col("_i") == F.size("wells") - 1).cast("double")).alias("share_on_highest"), F.array_sort(F.collect_set("value")).alias("seen"))
     ratios = F.when(F.size("seen") > 1, F.zip_with(F.slice("seen", 2, F.size("seen") - 1), F.slice("seen", 1, F.size("seen") - 1), lambda x, y: F.round(x / y, 3))).otherwise(F.array().cast("array<double>"))
     return lat.join(a, by).select(

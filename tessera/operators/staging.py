@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,6 +24,12 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """df, settled, to be broadcast if it has at most so many rows; its rows are counted, not guessed."""
+    df = settled(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read back."""
     spark = df.sparkSession
