@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import once
 from tessera.operators.staging import settled, small
 
 INF = float("inf")
@@ -41,28 +40,24 @@ def intervals(readings: DataFrame, by: list[str], wells: list[float] | None = No
     readings = settled(readings)
     # a panel has few wells, so its lattice travels to the readings, and so does what is said of its top well
     r = readings.join(small(lattice(readings, by, wells)), by, "left").withColumn("_v", F.when(F.col("value") > 0, F.log2("value")))
-    op, index = F.coalesce("op", F.lit("")), _index(F.col("_v"))
+    r = r.withColumns({"_i": _index(F.col("_v")), "_n": F.size("wells")})
+    well, first = F.element_at("wells", F.col("_i") + 1), F.element_at("wells", 1)
+    below = F.when(F.col("_i") > 0, F.element_at("wells", F.greatest(F.col("_i"), F.lit(1)))).otherwise(first - 1)
+    top = F.col("_i") == F.col("_n") - 1
+    lo = F.when((F.col("_i") == 0) & F.lit(ends_censored), F.lit(-INF)).otherwise(below)
+    hi = F.when(top & F.lit(ends_censored), F.lit(INF)).otherwise(well)
     if signs:
-        beyond = r.filter(op.isin(">", ">=") & (index == F.size("wells") - 1)).select(*by).distinct().withColumn("_told", F.lit(True))
+        op = F.coalesce("op", F.lit(""))
+        beyond = r.filter(op.isin(">", ">=") & top).select(*by).distinct().withColumn("_told", F.lit(True))
         r = r.join(small(beyond), by, "left")
-
-    def ends(i: Column) -> Column:
-        well, first = F.element_at("wells", i + 1), F.element_at("wells", 1)
-        below = F.when(i > 0, F.element_at("wells", F.greatest(i, F.lit(1)))).otherwise(first - 1)
-        top = i == F.size("wells") - 1
-        lo = F.when((i == 0) & F.lit(ends_censored), F.lit(-INF)).otherwise(below)
-        hi = F.when(top & F.lit(ends_censored), F.lit(INF)).otherwise(well)
-        if signs:
-            own = (op == "=") | ((op == "") & top & F.coalesce("_told", F.lit(False)))
-            lo, hi = (
-                F.when(own | (op == ">="), below).when(op == ">", F.col("_v")).when(op.isin("<", "<="), F.lit(-INF)).otherwise(lo),
-                F.when(own, well).when(op.isin(">", ">="), F.lit(INF)).when(op.isin("<", "<="), F.col("_v")).otherwise(hi),
-            )
-        return F.struct(lo.alias("lo"), hi.alias("hi"))
-
-    # filters on the ends are pushed below them, where each mention of the place would look it up anew
-    known, at = F.col("_v").isNotNull(), once(index, ends)
-    return r.withColumns({"lo": F.when(known, at["lo"]), "hi": F.when(known, at["hi"])}).drop("_v", "_told", "wells", "kind")
+        told = F.coalesce("_told", F.lit(False))
+        own = (op == "=") | ((op == "") & top & told)
+        lo, hi = (
+            F.when(own | (op == ">="), below).when(op == ">", F.col("_v")).when(op.isin("<", "<="), F.lit(-INF)).otherwise(lo),
+            F.when(own, well).when(op.isin(">", ">="), F.lit(INF)).when(op.isin("<", "<="), F.col("_v")).otherwise(hi),
+        )
+    known = F.col("_v").isNotNull()
+    return r.withColumns({"lo": F.when(known, lo), "hi": F.when(known, hi)}).drop("_v", "_i", "_n", "_told", "wells", "kind")
 
 
 def geometry(readings: DataFrame, by: list[str], wells: list[float] | None = None) -> DataFrame:
@@ -99,7 +94,7 @@ def coarsen(r: DataFrame, cuts: list[float]) -> DataFrame:
 
 def cells(r: DataFrame, by: list[str]) -> DataFrame:
     """(by, lo, hi) -> n, first, last: readings on the sequence gap, end point, gap, ... of their stratum's finite ends."""
-    # counted before they are filtered, and once: intervals are computed for each mention in a filter and each use
+    # counted before they are filtered, and once: a filter on the ends is pushed below them, where each mention of a place looks it up anew
     u = settled(r.groupBy(*by, "lo", "hi").agg(F.count(F.lit(1)).alias("n"))).filter("lo IS NOT NULL AND NOT (lo = double('-infinity') AND hi = double('infinity'))")
     ends = u.select(*by, F.explode(F.array("lo", "hi")).alias("e")).filter(F.abs("e") < INF).distinct()
     place = F.row_number().over(Window.partitionBy(*by).orderBy("e")) - 1
